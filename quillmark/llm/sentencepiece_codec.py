@@ -19,6 +19,7 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -223,7 +224,7 @@ def codec(path: str) -> PieceCodec:
 
 def slices(batch: pa.RecordBatch, text: int, most: int = SLICE) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about so many bytes of text each, whole rows, at least one."""
-    sizes = np.cumsum(np.asarray(pa.compute.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False), np.int64))
+    sizes = np.cumsum(np.asarray(pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False), np.int64))
     at = 0
     while at < batch.num_rows:
         base = sizes[at - 1] if at else 0
