@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,3 +34,14 @@ def ascii_lower(col: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def slices(batch: pa.RecordBatch, text: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about so many bytes of text each, whole rows, at least one."""
+    sizes = np.cumsum(np.asarray(pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False), np.int64))
+    at = 0
+    while at < batch.num_rows:
+        base = sizes[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(sizes, base + most, side="right")))
+        yield batch.slice(at, to - at)
+        at = to

@@ -19,10 +19,11 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmark.llm.common import slices
+
 SPACE = "▁"
 #: Chunks that a worker remembers in each of two generations; the older one goes when the younger is full.
 MEMORY = 400_000
@@ -222,22 +223,11 @@ def codec(path: str) -> PieceCodec:
     return PieceCodec(path)
 
 
-def slices(batch: pa.RecordBatch, text: int, most: int = SLICE) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of about so many bytes of text each, whole rows, at least one."""
-    sizes = np.cumsum(np.asarray(pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False), np.int64))
-    at = 0
-    while at < batch.num_rows:
-        base = sizes[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(sizes, base + most, side="right")))
-        yield batch.slice(at, to - at)
-        at = to
-
-
 def _worker(path: str, decode: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for whole in batches:
-            for batch in slices(whole, 1):
+            for batch in slices(whole, 1, SLICE):
                 ids = own.encode_batch([x or "" for x in batch.column(1).to_pylist()])
                 cols = [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
                 names = ["doc_id", "n_tokens", "ids"]
