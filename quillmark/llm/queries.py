@@ -53,8 +53,27 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmark.llm.token_files import round_trip
+
+    back = round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
+    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmark.llm.vector_topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmark.llm.token_counts import document_token_counts
+
+    return document_token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), separator=50256)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_simhash, op3_url_filter, op4_decontamination, op5_chat_format)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_simhash, op3_url_filter, op4_decontamination, op5_chat_format, op7_token_files, op8_topk, op9_token_counts)}
 
 
 OP3_SQL = """
@@ -92,7 +111,20 @@ FROM d LEFT JOIN n_hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+OP8_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS w FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         coalesce(list_sum(list_transform(range(1, least(len(q.w), len(c.w)) + 1), lambda i: q.w[i] * c.w[i])), 0)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     from quillmark.llm import chat_format
 
-    return {"op3_url_filter": OP3_SQL, "op4_decontamination": OP4_SQL.replace("\\\\", "\\"), "op5_chat_format": chat_format.ORACLE_SQL}
+    return {"op3_url_filter": OP3_SQL, "op4_decontamination": OP4_SQL.replace("\\\\", "\\"), "op5_chat_format": chat_format.ORACLE_SQL, "op8_topk": OP8_SQL}
