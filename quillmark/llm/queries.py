@@ -72,8 +72,14 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), separator=50256)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmark.llm.toxicity import judge_toxicity
+
+    return judge_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_simhash, op3_url_filter, op4_decontamination, op5_chat_format, op7_token_files, op8_topk, op9_token_counts)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_simhash, op3_url_filter, op4_decontamination, op5_chat_format, op7_token_files, op8_topk, op9_token_counts, op10_toxicity)}
 
 
 OP3_SQL = """
