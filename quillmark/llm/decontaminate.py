@@ -201,7 +201,7 @@ def search_shard(texts: list[bytes], blocks: Iterator[Phrases]) -> list[tuple[in
     return [(int(n), s, sorted(i)) for n, s, i in zip(sizes, spans, items, strict=True)]
 
 
-def _worker(blocks: list, window: int, extra: list[str], schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _worker(blocks: list, window: int, extra: list[str], text: str, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def phrases() -> Iterator[Phrases]:
         for b in blocks:
             yield Phrases(b.value, window)
@@ -214,7 +214,7 @@ def _worker(blocks: list, window: int, extra: list[str], schema: pa.Schema) -> C
 
         def shard() -> pa.RecordBatch:
             whole = pa.Table.from_batches(held).combine_chunks()
-            texts = [x or b"" for x in whole.column("text").cast(pa.binary()).to_pylist()]
+            texts = [x or b"" for x in whole.column(text).cast(pa.binary()).to_pylist()]
             if len(blocks) == 1 and not keep:
                 keep.extend(phrases())
             got = search_shard(texts, iter(keep) if keep else phrases())
@@ -224,9 +224,9 @@ def _worker(blocks: list, window: int, extra: list[str], schema: pa.Schema) -> C
             return pa.RecordBatch.from_arrays([c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in cols], names=schema.names)
 
         for whole in batches:
-            for part in slices(whole, whole.schema.get_field_index("text"), SHARD):
+            for part in slices(whole, whole.schema.get_field_index(text), SHARD):
                 held.append(part)
-                size += part.column("text").nbytes
+                size += part.column(text).nbytes
                 if size >= SHARD:
                     yield shard()
                     held, size = [], 0
@@ -261,13 +261,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     """
     keep_fields = docs.select(*keep).schema
     names = [f"k{i}" for i in range(len(keep))]
-    own = docs.select(*(F.col(c).alias(n) for c, n in zip(keep, names, strict=True)), F.col(text_col).alias("text"))
+    text = names[keep.index(text_col)] if text_col in keep else "text"
+    own = docs.select(*(F.col(c).alias(n) for c, n in zip(keep, names, strict=True)), *([] if text_col in keep else [F.col(text_col).alias(text)]))
     ddl = ", ".join([*(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, keep_fields, strict=True)), "n_words long, n_hit long, spans array<struct<start:int,end:int>>, items array<string>"])
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = to_arrow_schema(docs.sparkSession.createDataFrame([], ddl).schema)
     blocks = benchmark_blocks(benchmark, item_id, item_text)
-    return own.mapInArrow(_worker(blocks, window, names, schema), ddl).withColumnsRenamed(dict(zip(names, keep, strict=True)))
+    return own.mapInArrow(_worker(blocks, window, names, text, schema), ddl).withColumnsRenamed(dict(zip(names, keep, strict=True)))
 
 
 def is_contaminated(n_hit: str = "n_hit", n_words: str = "n_words"):

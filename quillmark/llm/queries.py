@@ -53,6 +53,12 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmark.llm.substring_dedup import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmark.llm.token_files import round_trip
 
@@ -79,7 +85,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_simhash, op3_url_filter, op4_decontamination, op5_chat_format, op7_token_files, op8_topk, op9_token_counts, op10_toxicity)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_simhash, op3_url_filter, op4_decontamination, op5_chat_format, op6_substring_dedup, op7_token_files, op8_topk, op9_token_counts, op10_toxicity)}
 
 
 OP3_SQL = """

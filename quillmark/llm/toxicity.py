@@ -200,15 +200,15 @@ def worst_words(texts: list[str], model: Model, known: dict[str, float]) -> list
     return [max(map(known.__getitem__, x), default=NO_WORDS) for x in cut]
 
 
-def _worst_of(model, ids: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Batches of id columns and a last column of text, to the ids and worst."""
+def _worst_of(model, names: list[str], text: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches to their columns in names and worst, of the column at text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
         for whole in batches:
-            for batch in slices(whole, len(ids), SLICE):
-                worst = worst_words([x or "" for x in batch.column(len(ids)).to_pylist()], model.value, known)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(worst, pa.float64())], [*ids, "worst"])
+            for batch in slices(whole, text, SLICE):
+                worst = worst_words([x or "" for x in batch.column(text).to_pylist()], model.value, known)
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(worst, pa.float64())], [*names, "worst"])
 
     return run
 
@@ -282,7 +282,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         hard = _values(clean_words.select(F.lit(0).cast("long").alias("row"), "word"), sent, "row long").orderBy(F.desc("value"), "word").limit(HARD)
         clean = sorted({*clean, *(r["word"] for r in hard.collect())})
     sent = spark.sparkContext.broadcast(model)
-    got = sample.select("label", "text").mapInArrow(_worst_of(sent, ["label"]), "label int, worst double").collect()
+    got = sample.select("label", "text").mapInArrow(_worst_of(sent, ["label"], 1), "label int, worst double").collect()
     shares = labels.where(~held_out(F.col(id_col))).agg(F.avg(F.when(F.col(label_col).isin(0, 1), F.col(label_col).cast("double")))).first()
     model.slope, model.offset = calibrate(np.array([r["worst"] for r in got]), np.array([r["label"] for r in got]), shares[0])
     return model
@@ -303,9 +303,10 @@ def score_documents(docs: DataFrame, model: Model | None, keep: tuple[str, ...]
     if model is None:
         return docs.select(*keep, F.lit(0.0).alias("score"))
     names = [f"k{i}" for i in range(len(keep))]
-    own = docs.select(*(F.col(c).alias(x) for c, x in zip(keep, names, strict=True)), F.col(text_col).alias("text"))
-    ddl = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in own.schema.fields[:-1])
-    worst = own.mapInArrow(_worst_of(docs.sparkSession.sparkContext.broadcast(model), names), ddl + "worst double")
+    own = docs.select(*(F.col(c).alias(x) for c, x in zip(keep, names, strict=True)), *([] if text_col in keep else [F.col(text_col).alias("text")]))
+    ddl = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in own.schema.fields[: len(keep)])
+    at = keep.index(text_col) if text_col in keep else len(keep)
+    worst = own.mapInArrow(_worst_of(docs.sparkSession.sparkContext.broadcast(model), names, at), ddl + "worst double")
     score = 1 / (1 + F.exp(-(F.col("worst") * model.slope + model.offset)))
     return worst.select(*(F.col(x).alias(c) for c, x in zip(keep, names, strict=True)), score.alias("score"))
 
