@@ -62,8 +62,8 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmark.llm.token_files import round_trip
 
-    back = round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
-    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    back = round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2, ids=F.crc32("ids"))
+    return back.withColumnRenamed("ids", "ids_crc32")
 
 
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

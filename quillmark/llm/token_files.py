@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmark.llm import shared_files
@@ -121,11 +121,14 @@ def with_starts(rows: DataFrame, shards: DataFrame) -> DataFrame:
     return rows.join(files, "file").withColumn("start", F.col("file_start") + F.col("local_start")).drop("file_start")
 
 
-def round_trip(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
-    """Write the files to a new folder, read them back: (doc_id, start, n_tokens, ids), one row for each row of docs."""
+def round_trip(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, ids: Column | None = None) -> DataFrame:
+    """Write the files to a new folder, read them back: (doc_id, start, n_tokens, ids), one row for each row of docs.
+    ids: what is asked of the column of ids, worked out where they are read."""
     spark = docs.sparkSession
     folder = folder or shared_files.new_folder(spark, "token-files")
     shards = write_token_files(docs, tokenizer, end_id, folder, id_col, text_col)
+    ids = F.col("ids") if ids is None else ids
     if shards.isEmpty():
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids binary")
-    return with_starts(read_token_files(spark, folder), shards).select("doc_id", "start", "n_tokens", "ids")
+        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids binary").select("doc_id", "start", "n_tokens", ids.alias("ids"))
+    rows = read_token_files(spark, folder).select("file", "doc_id", "local_start", "n_tokens", ids.alias("ids"))
+    return with_starts(rows, shards).select("doc_id", "start", "n_tokens", "ids")
