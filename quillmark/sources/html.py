@@ -11,7 +11,7 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Tags whose content is ignored, tags that make blocks, tags without content.
@@ -20,6 +20,8 @@ BLOCKS = frozenset({"p", "div", "li", "section", "article", "header", "footer",
 VOID = frozenset({"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"})
 SCHEMA = "position int, block_id string, block_type string, section string, text string, table_index int, row_index int, cell_values array<string>"
 
+_ARROW = pa.schema({n: {"int": pa.int32(), "string": pa.string()}.get(t, pa.list_(pa.string())) for n, t in (x.split(" ") for x in SCHEMA.split(", "))})
+
 
 def _clean(parts: list[str]) -> str:
     return " ".join("".join(parts).split())
@@ -164,10 +166,10 @@ def html_blocks(docs: DataFrame) -> DataFrame:
     """(doc_id, position, block columns) of docs (doc_id, content string or binary)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["doc_id", "position", "block_id", "block_type", "section", "text", "table_index", "row_index", "cell_values"]
-        for rows in batches:
-            out = [{"doc_id": d, "position": i, **b} for d, c in zip(rows["doc_id"], rows["content"], strict=True) for i, b in enumerate(parse_html(c), 1)]
-            yield pd.DataFrame(out, columns=names).astype({"table_index": "Int32", "row_index": "Int32"})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            schema = pa.schema([batch.schema.field("doc_id"), *_ARROW])
+            for row in batch.to_pylist():
+                yield pa.RecordBatch.from_pylist([{"doc_id": row["doc_id"], "position": i} | b for i, b in enumerate(parse_html(row["content"]), 1)], schema=schema)
 
-    return docs.select("doc_id", "content").mapInPandas(run, f"doc_id {kind}, {SCHEMA}")
+    return docs.select("doc_id", "content").mapInArrow(run, f"doc_id {kind}, {SCHEMA}")
