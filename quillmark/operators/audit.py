@@ -124,5 +124,5 @@ def within_budget(rows: DataFrame, budget: int, key: str = "row") -> DataFrame:
 def fallback_decode(primary: Column, primary_error: Column, second: Column, second_error: Column) -> tuple[Column, Column, Column]:
     """(decoded, source, error): the first photo's code, else the second's; the error keeps both causes."""
     source = F.when(primary.isNotNull(), "AG").when(second.isNotNull(), "AF")
-    both = F.concat_ws("; ", F.concat(F.lit("AG: "), primary_error), F.concat(F.lit("AF: "), second_error))
+    both = F.concat(F.lit("AG:"), F.coalesce(primary_error, F.lit("no_barcode_found")), F.lit("; AF:"), F.coalesce(second_error, F.lit("")))
     return F.coalesce(primary, second), source, F.when(source.isNull(), both)
