@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_C = ctypes.CDLL(None)
 #: Used only where the session names no shared folder, as in tests.
 LOCAL_CHECKPOINTS = "file:///tmp/checkpoints/quillmark"
 
@@ -37,7 +39,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def slices(batch: pa.RecordBatch, text: int, most: int) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of about so many bytes of text each, whole rows, at least one."""
+    """Parts of a batch of about so many bytes of text each, whole rows, at least one; what they took goes back to the
+    system after the batch, since workers live on beside the executor's heap."""
     sizes = np.cumsum(np.asarray(pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False), np.int64))
     at = 0
     while at < batch.num_rows:
@@ -45,3 +48,6 @@ def slices(batch: pa.RecordBatch, text: int, most: int) -> Iterator[pa.RecordBat
         to = max(at + 1, int(np.searchsorted(sizes, base + most, side="right")))
         yield batch.slice(at, to - at)
         at = to
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(_C, "malloc_trim", None):
+        trim(0)

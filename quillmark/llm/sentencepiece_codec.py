@@ -26,7 +26,7 @@ from quillmark.llm.common import slices
 
 SPACE = "▁"
 #: Chunks that a worker remembers in each of two generations; the older one goes when the younger is full.
-MEMORY = 400_000
+MEMORY = 120_000
 #: Rank of a pair that doesn't merge; characters of a chunk from which its agenda is a heap of its own.
 FAR, WIDEST = 2**31 - 1, 40
 #: Bytes of text that a worker handles at once.

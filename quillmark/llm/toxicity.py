@@ -34,7 +34,7 @@ LEAN, ODDS = 4.0, 5.0
 #: A word of more letters is taken in overlapping windows of so many.
 LONGEST = 48
 #: Bytes of text that a worker handles at once; tokens that it remembers.
-SLICE, MEMORY = 4 << 20, 500_000
+SLICE, MEMORY = 4 << 20, 150_000
 THRESHOLD = 0.3
 
 _SHAPES = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN) if a + b <= SPAN]
