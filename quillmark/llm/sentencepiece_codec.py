@@ -95,7 +95,7 @@ class PieceCodec:
 
     def keys(self, text: str) -> list[str]:
         """A text's chunks by their keys: a chunk is its key, with a space mark before it unless it begins a line."""
-        if "  " in text or " \n" in text or SPACE in text or text[-1:] == " ":
+        if "  " in text or " \n" in text or SPACE in text or " " in (text[:1], text[-1:]):
             found = re.findall(f"{SPACE}+[^{SPACE}\n]*|\n[^{SPACE}\n]*", SPACE + text.replace(" ", SPACE))
             return [x[1:] if x[0] == SPACE else x for x in found]
         return text.replace("\n", " \n").split(" ")
