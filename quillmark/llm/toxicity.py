@@ -3,9 +3,9 @@
 The kernel of two words sums, over all character triples that occur in both, with gaps, the decayed spans of their
 occurrences, so an insult still matches with characters left out or put in; words are reduced to their letters
 first ("i.d-i.o t" is one word). The machine is trained on labelled sentences: in clean ones every word is clean; in
-a toxic document only some word of some sentence need be, so a witness word is chosen for each (first by its
-association with the label, then by the machine itself) and the hardest words of clean sentences join the training
-set. A sentence scores as its worst word, a document as its worst sentence, and a logistic fit gives the score.
+a toxic document only some word of some sentence need be, so witness words are chosen (by their association
+with the label, then the machine's own choice in each document) and the hardest words of clean sentences join the
+training set. A sentence scores as its worst word, a document as its worst sentence, and a logistic fit gives the score.
 
 The kernel's features are explicit, so the landmarks' weights fold into one table of triples, whose size is fixed.
 """
@@ -260,10 +260,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     of_bad = checkpoint(words.where("label = 1").join(counts.where("apart").select("word", "lean"), "word").select("row", "word", "lean"))
 
     def tally(best: DataFrame) -> dict[str, int]:
-        return {r["word"]: r["n"] for r in best.groupBy("word").agg(F.count("*").alias("n")).collect()}
+        return {r["word"]: r["n"] for r in best.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(2 * rows).collect()}
 
-    first = of_bad.where(F.col("lean") >= LEAN).groupBy("row").agg(F.max_by("word", F.struct("lean", "word")).alias("word"))
-    witness = tally(first)
+    first = tally(of_bad.where(F.col("lean") >= LEAN))
+    witness = first
     if not witness:
         witness = tally(of_bad.groupBy("row").agg(F.max_by("word", F.struct("lean", "word")).alias("word")))
     if not witness:
@@ -278,7 +278,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         model = train_words(bad, clean, np.array([witness[x] for x in bad], float))
         sent = spark.sparkContext.broadcast(model)
         valued = _values(of_bad.select("row", "word"), sent, "row long").where("value > 0")
-        witness = tally(valued.groupBy("row").agg(F.max_by("word", F.struct("value", "word")).alias("word"))) or witness
+        witness = tally(valued.groupBy("row").agg(F.max_by("word", F.struct("value", "word")).alias("word"))) | first or witness
         hard = _values(clean_words.select(F.lit(0).cast("long").alias("row"), "word"), sent, "row long").orderBy(F.desc("value"), "word").limit(HARD)
         clean = sorted({*clean, *(r["word"] for r in hard.collect())})
     sent = spark.sparkContext.broadcast(model)
