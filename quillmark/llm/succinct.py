@@ -8,9 +8,9 @@ of a symbol, highest first; each level is the stable partition of the one above
 from __future__ import annotations
 
 import struct
-import zlib
 
 import numpy as np
+import zstandard
 
 MAGIC = b"QWM1"
 
@@ -72,10 +72,13 @@ class WaveletMatrix:
     def of(cls, values: np.ndarray, levels: int) -> WaveletMatrix:
         planes, n = [], len(values)
         for level in range(levels - 1, -1, -1):
-            bit = (values >> values.dtype.type(level)) & values.dtype.type(1) == 1
+            bit = (values & values.dtype.type(1 << level)).astype(bool)
             planes.append(BitPlane.of(bit))
             if level:
-                values = np.concatenate([values[~bit], values[bit]])
+                below, z = np.empty_like(values), n - planes[-1].ones
+                np.compress(~bit, values, out=below[:z])
+                np.compress(bit, values, out=below[z:])
+                values = below
         return cls(planes, n)
 
     def access(self, i: np.ndarray) -> np.ndarray:
@@ -118,17 +121,18 @@ class WaveletMatrix:
         for k in range(len(self.planes) - 1, -1, -1):
             bit, z = self.planes[k].bits(), self.zeros[k]
             above = np.empty(self.n, kind)
-            above[~bit] = value[:z]
-            above[bit] = value[z:] | kind(1 << (len(self.planes) - 1 - k))
+            above[np.flatnonzero(~bit)] = value[:z]
+            above[np.flatnonzero(bit)] = value[z:] | kind(1 << (len(self.planes) - 1 - k))
             value = above
         return value
 
     def to_bytes(self, level: int = 1) -> bytes:
-        """One file: magic, n, levels, then each plane's words, deflated where that is shorter; level 0 stores."""
+        """One file: magic, n, levels, then each plane's words, zstandard where that is shorter; level 0 stores."""
+        press = zstandard.ZstdCompressor(level=level) if level else None
         out = [MAGIC, struct.pack("<QB", self.n, len(self.planes))]
         for p in self.planes:
             raw = p.words.tobytes()
-            body = zlib.compress(raw, level) if level else raw
+            body = press.compress(raw) if press else raw
             squeezed = len(body) < len(raw)
             out += [struct.pack("<BQ", squeezed, len(body) if squeezed else len(raw)), body if squeezed else raw]
         return b"".join(out)
@@ -138,11 +142,11 @@ class WaveletMatrix:
         if data[:4] != MAGIC:
             raise ValueError("not a wavelet matrix file")
         n, levels = struct.unpack_from("<QB", data, 4)
-        at, planes = 13, []
+        at, planes, press = 13, [], zstandard.ZstdDecompressor()
         for _ in range(levels):
             squeezed, size = struct.unpack_from("<BQ", data, at)
             at += 9
-            raw = zlib.decompress(data[at : at + size]) if squeezed else data[at : at + size]
+            raw = press.decompress(data[at : at + size]) if squeezed else data[at : at + size]
             planes.append(BitPlane(np.frombuffer(raw, "<u8"), n))
             at += size
         return cls(planes, n)
