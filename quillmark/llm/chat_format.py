@@ -22,27 +22,27 @@ BUCKET = 1024
 TURN_START, TURN_MIDDLE, TURN_END = "<|", "|>\n", "<|end|>\n"
 
 
-def _hash(seed: int, *cols: Column) -> Column:
-    return F.xxhash64(F.lit(seed), *cols)
+def _content(seed: int) -> Column:
+    """Hash of a turn's role and text; nulls differ from empty ones."""
+    return F.xxhash64(F.lit(seed), F.coalesce(F.concat(F.lit("r"), F.col("role")), F.lit("")), F.coalesce(F.concat(F.lit("t"), F.col("text")), F.lit("")))
 
 
 def turns_with_prefix(conversations: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text, place from 1, h1, h2): h1 and h2 hash the turns up to this one, in order of
-    turn (null first), then role and text. Null roles and texts differ from empty ones."""
+    """(conv_id, place from 1, h1, h2): h1 and h2 hash the turns up to this one, in order of turn (null first); turns
+    of one number come in the order of their content's hashes. Texts stay behind: only hashes move."""
     bucket = F.coalesce(F.floor(F.col("turn") / BUCKET), F.lit(-(2**62)))
-    rows = conversations.select("conv_id", "turn", "role", "text", bucket.alias("bucket"))
-    local = Window.partitionBy("conv_id", "bucket").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
+    rows = conversations.select("conv_id", "turn", bucket.alias("bucket"), _content(1).alias("c1"), _content(2).alias("c2"))
+    local = Window.partitionBy("conv_id", "bucket").orderBy(F.col("turn").asc_nulls_first(), "c1", "c2")
     before = Window.partitionBy("conv_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy("conv_id", "bucket").agg(F.count("*").alias("n"))
     counts = counts.select("conv_id", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_before"))
-    placed = _join(rows.withColumn("local", F.row_number().over(local)), counts).withColumn("place", F.col("n_before") + F.col("local")).drop("n_before")
-    content = (F.col("place"), F.coalesce(F.concat(F.lit("r"), F.col("role")), F.lit("")), F.coalesce(F.concat(F.lit("t"), F.col("text")), F.lit("")))
-    placed = placed.withColumns({"x1": _hash(1, *content), "x2": _hash(2, *content)})
+    placed = _join(rows.withColumn("local", F.row_number().over(local)), counts).withColumn("place", F.col("n_before") + F.col("local")).drop("n_before", "turn")
+    placed = placed.withColumns({f"x{i}": F.xxhash64(F.lit(i), F.col("place"), F.col(f"c{i}")) for i in (1, 2)}).drop("c1", "c2")
     sums = placed.groupBy("conv_id", "bucket").agg(F.bit_xor("x1").alias("s1"), F.bit_xor("x2").alias("s2"))
     sums = sums.select("conv_id", "bucket", *(F.coalesce(F.bit_xor(f"s{i}").over(before), F.lit(0)).alias(f"b{i}") for i in (1, 2)))
     up_to = Window.partitionBy("conv_id", "bucket").orderBy("local").rowsBetween(Window.unboundedPreceding, 0)
     rolled = _join(placed, sums)
-    return rolled.select("conv_id", "turn", "role", "text", "place", *(F.bit_xor(f"x{i}").over(up_to).bitwiseXOR(F.col(f"b{i}")).alias(f"h{i}") for i in (1, 2)))
+    return rolled.select("conv_id", "place", *(F.bit_xor(f"x{i}").over(up_to).bitwiseXOR(F.col(f"b{i}")).alias(f"h{i}") for i in (1, 2)))
 
 
 def _join(rows: DataFrame, parts: DataFrame) -> DataFrame:
@@ -64,15 +64,16 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     """Collapse cumulative snapshots, then render every maximal conversation.
 
     Returns (conv_id, n_turns long, rendered string), one row for each kept conversation. A conversation is the
-    rows of one conv_id (null is an id like any other, the smallest only if alone) in order of turn, then role and
-    text; repeated rows are repeated turns. A null role or text is rendered as the empty string. An empty table
+    rows of one conv_id (null is an id like any other, the smallest only if alone) in order of turn (null first), then
+    of the content's hashes; repeated rows are repeated turns. A null role or text is rendered as the empty string. An empty table
     gives an empty one; other columns are not read. A rendered conversation is one value, so it must fit in a row.
     """
-    prefixes = turns_with_prefix(conversations)
-    kept = maximal(prefixes).withColumnRenamed("conv_id", "k_conv")
-    turns = prefixes.join(kept, prefixes["conv_id"].eqNullSafe(kept["k_conv"]))
+    kept = maximal(turns_with_prefix(conversations)).withColumnRenamed("conv_id", "k_conv")
     piece = F.concat(F.lit(TURN_START), F.coalesce("role", F.lit("")), F.lit(TURN_MIDDLE), F.coalesce("text", F.lit("")), F.lit(TURN_END))
-    return turns.groupBy("conv_id", "n_turns").agg(F.array_sort(F.collect_list(F.struct("place", piece.alias("piece")))).alias("pieces")).select("conv_id", "n_turns", F.array_join(F.col("pieces.piece"), "").alias("rendered"))
+    turns = conversations.select("conv_id", F.struct("turn", _content(1).alias("c1"), _content(2).alias("c2"), piece.alias("piece")).alias("t"))
+    turns = turns.join(kept, turns["conv_id"].eqNullSafe(kept["k_conv"]))
+    listed = turns.groupBy("conv_id", "n_turns").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    return listed.select("conv_id", "n_turns", F.array_join(F.col("turns.piece"), "").alias("rendered"))
 
 
 #: DuckDB: prefixes compared as whole strings.
