@@ -226,6 +226,28 @@ def test_passages(spark):
     assert substring_dedup.repeated_passages(df.limit(0)).count() == 0
 
 
+def test_passages_whose_parts_occur_earlier(spark):
+    rng = np.random.default_rng(5)
+    line = lambda n: [f"w{x}" for x in rng.integers(0, 100_000, n)]
+    passages = [line(60) for _ in range(8)]
+    texts = []
+    for i, p in enumerate(passages):  # pieces of 20 words, every 16 words: each seed has an earlier holder
+        texts += [(10 * i + k, " ".join(line(30) + p[at : at + 20] + line(30))) for k, at in enumerate(range(0, 48, 16))]
+        texts += [(100 + i, " ".join(line(15) + p + line(9))), (200 + i, " ".join(line(i) + p + line(12)))]
+        texts.append((300 + i, " ".join(p[32:] + p[16:36] + p[:20] + line(40) + p)))  # its first places are the pieces'
+        texts.append((400 + i, " ".join(p)))
+    split = {d: t.split() for d, t in texts}
+    want = {}
+    for d, w in split.items():  # brute force: words inside runs of 50 words that a smaller id holds
+        earlier = {tuple(x[j : j + 50]) for e, x in split.items() if e < d for j in range(len(x) - 49)}
+        hit = sorted({j + k for j in range(len(w) - 49) if tuple(w[j : j + 50]) in earlier for k in range(50)})
+        if hit:
+            want[d] = hit
+    assert {200 + i for i in range(8)} <= set(want)
+    got = {r["doc_id"]: {k for s in r["spans"] for k in range(s["start"], s["end"])} for r in substring_dedup.repeated_passages(_docs(spark, texts)).collect()}
+    assert set(got) == set(want) and all(got[d] >= set(want[d]) for d in want)
+
+
 def test_cut_spans():
     assert substring_dedup.cut_spans(" a b\nc  d ", [(1, 3)]) == "a d"
     assert substring_dedup.cut_spans("a b", [(0, 2)]) == ""
