@@ -226,6 +226,23 @@ def test_passages(spark):
     assert substring_dedup.repeated_passages(df.limit(0)).count() == 0
 
 
+def test_stretches_across_gaps(spark):
+    a = [f"a{i}" for i in range(90)]
+    new = [f"n{i}" for i in range(30)]
+    both = lambda x, y: substring_dedup.align(x, y, [(x.index("a3"), y.index("a3")), (x.index("a60"), y.index("a60"))])
+    for gap in (6, 7, 12, 13, 22):  # 90 words of up to 112 agree
+        wide = a[:45] + new[:gap] + a[45:]
+        assert both(a, wide) == [(0, 90 + gap)] and both(wide, a) == [(0, 90)]
+        assert both(a[:45] + [f"x{i}" for i in range(gap)] + a[45:], wide) == [(0, 90 + gap)]
+    assert both(a, a[:45] + new[:23] + a[45:]) == [(0, 45), (68, 113)]
+    assert both(a[:30] + new + a[30:], a) == [(0, 30), (30, 90)]
+    parts = [(0, 20, 0, 20, 20), (24, 44, 20, 40, 20), (60, 80, 40, 60, 20)]
+    assert substring_dedup.stretches(parts) == [(0, 44)]
+    assert substring_dedup.stretches([(0, 30, 0, 30, 30), (28, 50, 28, 50, 22)]) == [(0, 50)]
+    rows = [(1, " ".join(a)), (2, " ".join(a[:45] + new[:7] + a[45:]))]
+    assert [(r["doc_id"], [tuple(s) for s in r["spans"]]) for r in substring_dedup.repeated_passages(_docs(spark, rows)).collect()] == [(2, [(0, 97)])]
+
+
 def test_passages_whose_parts_occur_earlier(spark):
     rng = np.random.default_rng(5)
     line = lambda n: [f"w{x}" for x in rng.integers(0, 100_000, n)]
