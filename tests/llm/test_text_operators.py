@@ -265,6 +265,52 @@ def test_passages_whose_parts_occur_earlier(spark):
     assert set(got) == set(want) and all(got[d] >= set(want[d]) for d in want)
 
 
+def _agrees(a, b, least=50, words=5):
+    """Whether a stretch of so many words at one offset agrees in 0.8 of its words, a run of five among them."""
+    same = [x == y for x, y in zip(a, b, strict=True)]
+    return any(
+        5 * sum(same[i:j]) >= 4 * (j - i) and any(all(same[k : k + words]) for k in range(i, j - words + 1))
+        for i in range(len(a)) for j in range(i + least, len(a) + 1) if same[i] and same[j - 1]
+    )
+
+
+def test_fuzzy_passages_by_brute_force(spark):
+    rng = np.random.default_rng(11)
+    line = lambda n: [f"w{x}" for x in rng.integers(0, 100_000, n)]
+    texts, want, spoilt = [], set(), 0
+    for i in range(300):
+        size, share = [(55, 0.8), (55, 0.85), (55, 0.9), (80, 0.8), (60, 0.7), (50, 0.8)][i % 6]
+        p = line(size)
+        q = list(p)
+        for k in rng.choice(size, round(size * (1 - share)), replace=False):
+            q[k] = f"s{rng.integers(10**9)}"
+        texts += [(i, " ".join(line(60) + p + line(60))), (1000 + i, " ".join(line(60) + q + line(60)))]
+        if _agrees(p, q):
+            want.add(1000 + i)
+        else:
+            spoilt += 1
+    got = {r["doc_id"] for r in substring_dedup.repeated_passages(_docs(spark, texts)).collect()}
+    assert got == want and spoilt > 40 and len(want) > 180
+
+
+def test_fuzzy_stretch_beside_an_exact_one():
+    a, b = [f"a{i}" for i in range(215)], [f"a{i}" for i in range(215)]
+    b[60:160] = [f"n{i}" for i in range(100)]
+    for k in (162, 164, 168, 170, 172, 174, 192, 194, 196, 198, 212):
+        b[k] = f"s{k}"
+    places = [(0, 0), (175, 175)]
+    assert substring_dedup.align(a, b, places[1:]) == [(160, 215)]
+    assert substring_dedup.align(a, b, places) == [(0, 60), (160, 215)]
+
+
+def test_one_seed_is_enough(spark):
+    p = [f"w{i}" for i in range(52)]
+    q = [w if k % 5 or k in (25, 50) else f"s{k}" for k, w in enumerate(p)]  # runs of four words, but for one
+    assert substring_dedup.chain([3], [4], least=1) == [[0]] and substring_dedup.chain([0, 40], [0, 70], [30, 3], 1) == [[0, 1]]
+    got = substring_dedup.repeated_passages(_docs(spark, [(1, " ".join(["x"] * 9 + p)), (2, " ".join(q + ["y"] * 9))])).collect()
+    assert [r["doc_id"] for r in got] == [2] and got[0]["n_words"] >= 50
+
+
 def test_cut_spans():
     assert substring_dedup.cut_spans(" a b\nc  d ", [(1, 3)]) == "a d"
     assert substring_dedup.cut_spans("a b", [(0, 2)]) == ""
