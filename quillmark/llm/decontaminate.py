@@ -39,11 +39,11 @@ def words_of(text: bytes) -> list[bytes]:
 class Phrases:
     """The windows of some items: words get symbols from 1, and each distinct window knows its items."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int):
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int):
         self.symbol: dict[bytes, int] = {}
         owners: dict[tuple[int, ...], set[int]] = {}
-        self.ids: list[str] = []
-        number: dict[str, int] = {}
+        self.ids: list[str | None] = []
+        number: dict[str | None, int] = {}
         for name, text in items:
             words = [self.symbol.setdefault(w, len(self.symbol) + 1) for w in words_of(text)]
             if words:
@@ -155,10 +155,10 @@ def runs_text(codes: np.ndarray, shortest: int) -> tuple[np.ndarray, np.ndarray]
     return text, at
 
 
-def search_shard(texts: list[bytes], blocks: Iterator[Phrases]) -> list[tuple[int, list[tuple[int, int]], list[str]]]:
+def search_shard(texts: list[bytes], blocks: Iterator[Phrases]) -> list[tuple[int, list[tuple[int, int]], list[str | None]]]:
     """(words, merged spans of word places, ids of the items found) of each text."""
     first, bound, cover, found, sizes = True, np.zeros(0, np.int64), np.zeros(0, np.int32), [], None
-    items: list[set[str]] = [set() for _ in texts]
+    items: list[set[str | None]] = [set() for _ in texts]
     for block in blocks:
         known = block.symbol.get
         parts = []
@@ -198,7 +198,7 @@ def search_shard(texts: list[bytes], blocks: Iterator[Phrases]) -> list[tuple[in
     spans: list[list[tuple[int, int]]] = [[] for _ in texts]
     for d, x, y in zip(doc.tolist(), (a - bound[doc]).tolist(), (b - bound[doc]).tolist(), strict=True):
         spans[d].append((x, y))
-    return [(int(n), s, sorted(i)) for n, s, i in zip(sizes, spans, items, strict=True)]
+    return [(int(n), s, sorted(i, key=lambda x: (x is None, x or ""))) for n, s, i in zip(sizes, spans, items, strict=True)]
 
 
 def _worker(blocks: list, window: int, extra: list[str], text: str, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -236,10 +236,10 @@ def _worker(blocks: list, window: int, extra: list[str], text: str, schema: pa.S
     return run
 
 
-def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list:
+def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, null_items: bool = False) -> list:
     """Broadcast variables of (id, text) rows, of BLOCK bytes of text each; the driver holds one block at a time."""
     sc, out, block, size = benchmark.sparkSession.sparkContext, [], [], 0
-    rows = benchmark.select(F.col(id_col).cast("string"), F.col(text_col).cast("binary")).where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = benchmark.select(F.col(id_col).cast("string"), F.col(text_col).cast("binary")).where((F.col(id_col).isNotNull() | F.lit(null_items)) & F.col(text_col).isNotNull())
     for name, text in rows.toLocalIterator():
         block.append((name, bytes(text)))
         size += len(text)
@@ -249,14 +249,15 @@ def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list:
     return [*out, sc.broadcast(block)] if block else out
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", item_id: str = "item_id", item_text: str = "text", null_items: bool = False) -> DataFrame:
     """Search every window of the benchmark's items in every whole document.
 
     Returns the columns named in keep, then n_words, n_hit (words inside occurrences), spans (merged removal
     spans, array of (start, end) places of words, end exclusive) and items (ids of the items found, sorted as
     strings). One row for each row of docs, repeated rows and null ids included; a null or empty text has no words
-    and no hits. An item of fewer words than window is one window; one without words is none; items with a null id
-    or text take no part, repeated ids count as one item. Either table may be empty. Columns of docs that are not
+    and no hits. An item of fewer words than window is one window; one without words is none; items with a null
+    text take no part, nor do those with a null id unless null_items is set: then their words count in n_hit and
+    spans, and together they are one item, a null at the end of items. Repeated ids count as one item. Either table may be empty. Columns of docs that are not
     named don't pass, whatever their names. The benchmark is sent in blocks of bounded size. No shuffle.
     """
     keep_fields = docs.select(*keep).schema
@@ -267,7 +268,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = to_arrow_schema(docs.sparkSession.createDataFrame([], ddl).schema)
-    blocks = benchmark_blocks(benchmark, item_id, item_text)
+    blocks = benchmark_blocks(benchmark, item_id, item_text, null_items)
     return own.mapInArrow(_worker(blocks, window, names, text, schema), ddl).withColumnsRenamed(dict(zip(names, keep, strict=True)))
 
 

@@ -173,6 +173,25 @@ def test_contamination_by_brute_force(spark):
     assert decontaminate.find_contamination(_edge(spark), bench, keep=("doc_id", "text")).count() == 6
 
 
+def test_contamination_by_items_without_id(spark, tmp_path):
+    import corpus_pipeline
+    import duckdb
+    from quillmark.llm import queries
+
+    items = [(1, "a b c"), (None, "w1 w1"), (None, "x y z"), (2, "w1 w1"), (3, None), (None, None)]
+    texts = [(1, "w1 w1 and a b c"), (2, "x y z"), (3, "only these words"), (4, "a b c"), (5, None), (6, "w1 w1 x y z")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    _docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    want = sorted(con.execute(queries.oracle_sql()["op4_decontamination"]).fetchall())
+    assert sorted(map(tuple, queries.op4_decontamination(spark, str(tmp_path)).collect())) == want
+    assert [w[2] for w in want] == [5, 3, 0, 3, 0, 5]
+    left = corpus_pipeline.benchmark_out(spark, _docs(spark, texts).select("doc_id", "text"), str(tmp_path))
+    assert sorted(r["doc_id"] for r in left.collect()) == [3, 5]
+
+
 def test_index_counts_and_places():
     rng = np.random.default_rng(0)
     codes = rng.integers(0, 4, 3000).astype(np.int32)
