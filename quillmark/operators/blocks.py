@@ -7,23 +7,26 @@ from pyspark.sql import functions as F
 
 from quillmark.functions.text import collapse
 
-#: Documents, or blocks, of one folder that a window numbers together; folders of any size take many windows.
-RANGE = 4096
+#: Ranges of ids that a folder's documents are numbered in.
+RANGES = 4096
 
 
 def blocks_of_documents(docs: DataFrame, folder: str = "source", doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """Lines of each text that aren't blank: (folder, doc_id, position from 1, block_id, block_type, section, text)."""
-    lines = docs.select(F.col(folder).alias("folder"), F.col(doc).alias("doc_id"), F.posexplode(F.split(F.col(text), "\r\n|\r|\n")).alias("line", "raw"))
-    kept = lines.withColumn("text", collapse(F.col("raw"))).where("text <> ''")
-    place = F.row_number().over(Window.partitionBy("folder", "doc_id").orderBy("line")).cast("long")
-    return kept.withColumn("position", place).select("folder", "doc_id", "position", F.format_string("p%06d", "position").alias("block_id"), F.lit("paragraph").alias("block_type"), F.lit(None).cast("string").alias("section"), "text")
+    """Lines of each text that aren't blank: (folder, doc_id, position from 1, block_id, block_type, section, text).
+    Places come from the lines' own array, so nothing is shuffled."""
+    lines = F.filter(F.transform(F.split(F.col(text), "\r\n|\r|\n"), collapse), lambda x: x != "")
+    kept = docs.select(F.col(folder).alias("folder"), F.col(doc).alias("doc_id"), F.posexplode(lines).alias("at", "text")).withColumn("position", F.col("at").cast("long") + 1)
+    return kept.select("folder", "doc_id", "position", F.format_string("p%06d", "position").alias("block_id"), F.lit("paragraph").alias("block_type"), F.lit(None).cast("string").alias("section"), "text")
 
 
-def number_blocks(blocks: DataFrame) -> DataFrame:
+def number_blocks(blocks: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """blocks with document_index, document_id, global_block_index and global_block_id, from 1 within each folder in
-    order of doc_id and position. Numbers come in two levels: counts of ranges of documents, then places within one,
-    so no task sorts a folder's blocks as a whole."""
-    per_doc = blocks.groupBy("folder", "doc_id").agg(F.count("*").alias("n")).withColumn("range", F.floor(F.col("doc_id") / RANGE))
+    order of doc_id and position. Numbers come in two levels: counts of ranges of ids, then places within one, so no
+    task sorts a folder's blocks as a whole. There are RANGES ranges between the least and the greatest id, however far
+    apart these are; ids: a table whose doc_id tells them without reading the blocks."""
+    low, high = (ids or blocks).agg(F.min("doc_id"), F.max("doc_id")).first()
+    width = 1 if low is None else (high - low) // RANGES + 1
+    per_doc = blocks.groupBy("folder", "doc_id").agg(F.count("*").alias("n")).withColumn("range", F.floor((F.col("doc_id") - F.lit(low or 0)) / F.lit(width)))
     before = Window.partitionBy("folder").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = per_doc.groupBy("folder", "range").agg(F.count("*").alias("docs"), F.sum("n").alias("blocks"))
     ranges = ranges.select("folder", "range", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("docs", "blocks")))

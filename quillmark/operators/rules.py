@@ -19,8 +19,8 @@ def evidence_text(item: Column) -> Column:
 
 
 def is_confirming(item: Column) -> Column:
-    """A score above zero, or, where there is none, any text."""
-    return F.coalesce(item["score"] > 0, evidence_text(item) != "")
+    """A score above zero, or, where there is none, any text. A score may be text; what isn't a number is none."""
+    return F.coalesce(item["score"].cast("string").try_cast("double") > 0, evidence_text(item) != "")
 
 
 def _spaced(col: Column) -> Column:

@@ -18,15 +18,17 @@ from quillmark.sources.criteria import Criterion, build_terms
 #: Terms that one search may have.
 MOST_TERMS = 20_000
 SNIPPET = 320
-_RANK = ("score", "global_block_index", "document_index", "file_name", "block_id")
+#: Columns that scoring and ranking add.
+RESULTS = frozenset({"criterion_id", "score", "matched_terms", "match_reasons", "snippet", "rank"})
 
 
 @dataclass(frozen=True)
 class Search:
-    """Ranked matches, and counts for each key (folder and criterion)."""
+    """Ranked matches, counts for each key (folder and criterion), and all keys."""
 
     matches: DataFrame
     stats: DataFrame
+    every: DataFrame
 
 
 def _terms(criteria: list[Criterion]) -> Column:
@@ -42,8 +44,11 @@ def _terms(criteria: list[Criterion]) -> Column:
 
 def score_blocks(blocks: DataFrame, criteria: list[Criterion]) -> DataFrame:
     """(columns of blocks, criterion_id, score, matched_terms, match_reasons, snippet) for each block and criterion
-    with a match in the text. blocks need text; section and file_name add their bonuses where they exist."""
+    with a match in the text. blocks need text; section and file_name add their bonuses where they exist. A column of
+    blocks that has the name of a result, or one that begins with two underscores, is an error."""
     keep = blocks.columns
+    if taken := sorted(c for c in keep if c.lower() in RESULTS or c.startswith("__")):
+        raise ValueError("rename these columns of blocks: " + ", ".join(taken))
     if not any(c.terms() for c in criteria):
         raise ValueError("Provide query or keywords")
     extra = {}
@@ -89,17 +94,17 @@ def score_blocks(blocks: DataFrame, criteria: list[Criterion]) -> DataFrame:
 
 
 def _order(columns: list[str]) -> list[Column]:
-    by = [F.desc("score")]
-    for name in _RANK[1:3]:
-        if name in columns:
-            by.append(F.asc_nulls_last(name))
-    return by + [F.coalesce(F.col(name), F.lit("")) for name in _RANK[3:] if name in columns]
+    """Blocks that aren't numbered stand in order of document and position, as their numbers would."""
+    places = ("global_block_index", "document_index") if "global_block_index" in columns else ("doc_id", "position")
+    names = ("file_name", "block_id")
+    return [F.desc("score"), *(F.asc_nulls_last(c) for c in places if c in columns), *(F.coalesce(F.col(c), F.lit("")) for c in names if c in columns)]
 
 
-def search_by_criteria(blocks: DataFrame, criteria: list[Criterion], top_k: int = 10, min_score: float = 1.0, key: str = "folder") -> Search:
+def search_by_criteria(blocks: DataFrame, criteria: list[Criterion], top_k: int = 10, min_score: float = 1.0, key: str = "folder", folders: DataFrame | None = None) -> Search:
     """The best top_k blocks of each criterion and folder, with rank from 1, and (folder, criterion_id, matches_total,
     matches_returned) of every folder and criterion, those without a match included. Matches are ordered by score,
-    then place in the folder, document, file name and block id."""
+    then place in the folder, document, file name and block id. folders: a table whose key tells the folders without
+    reading the blocks. Matches and counts are plans of their own, so whoever needs one doesn't pay for the other."""
     if top_k < 1:
         raise ValueError("top_k must be >= 1")
     if min_score < 0:
@@ -108,17 +113,17 @@ def search_by_criteria(blocks: DataFrame, criteria: list[Criterion], top_k: int
     w = Window.partitionBy(key, "criterion_id").orderBy(*_order(scored.columns))
     ranked = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)
     counts = scored.groupBy(key, "criterion_id").agg(F.count("*").alias("n"))
-    every = blocks.select(key).distinct().withColumn("criterion_id", F.explode(F.array(*(F.lit(c.criterion_id) for c in criteria))))
+    every = (folders or blocks).select(key).distinct().withColumn("criterion_id", F.explode(F.array(*(F.lit(c.criterion_id) for c in criteria))))
     total = F.coalesce("n", F.lit(0))
     stats = every.join(counts, [key, "criterion_id"], "left").select(key, "criterion_id", total.alias("matches_total"), F.least(total, F.lit(top_k).cast("long")).alias("matches_returned"))
-    return Search(ranked, stats)
+    return Search(ranked, stats, every)
 
 
-def search_blocks(blocks: DataFrame, query: str | None = None, keywords: list[str] | None = None, top_k: int = 20, min_score: float = 1.0, key: str = "folder") -> Search:
+def search_blocks(blocks: DataFrame, query: str | None = None, keywords: list[str] | None = None, top_k: int = 20, min_score: float = 1.0, key: str = "folder", folders: DataFrame | None = None) -> Search:
     """The best top_k blocks of each folder for one query and its keywords."""
     if not build_terms(query, keywords):
         raise ValueError("Provide query or keywords")
-    return search_by_criteria(blocks, [Criterion("query", "", query, tuple(keywords or ()), None, None)], top_k, min_score, key)
+    return search_by_criteria(blocks, [Criterion("query", "", query, tuple(keywords or ()), None, None)], top_k, min_score, key, folders)
 
 
 def evidence(search: Search, key: str = "folder") -> DataFrame:
@@ -127,4 +132,4 @@ def evidence(search: Search, key: str = "folder") -> DataFrame:
     item = F.struct("rank", F.col("score").cast("double").alias("score"), "snippet", F.lit(None).cast("string").alias("text"), F.col("text").alias("block_text"))
     listed = search.matches.groupBy(key, "criterion_id").agg(F.array_sort(F.collect_list(item)).alias("evidence"))
     empty = F.array().cast("array<struct<rank:int,score:double,snippet:string,text:string,block_text:string>>")
-    return search.stats.select(key, "criterion_id").join(listed, [key, "criterion_id"], "left").withColumn("evidence", F.coalesce("evidence", empty))
+    return search.every.join(listed, [key, "criterion_id"], "left").withColumn("evidence", F.coalesce("evidence", empty))

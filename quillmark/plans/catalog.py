@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import text as tx
 from quillmark.operators import audit, blocks, rules, scenario, search, shadow
-from quillmark.plans import oracles
+from quillmark.plans import literals, oracles
+from quillmark.run import rules_of
 from quillmark.sources.criteria import Criterion, criteria_of
 from quillmark.sources.html import html_blocks
 
@@ -38,7 +39,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocks.number_blocks(blocks.blocks_of_documents(_table(spark, sf_dir, "documents"))).withColumn("file_name", F.col("folder"))
+    return blocks.blocks_of_documents(_table(spark, sf_dir, "documents")).withColumn("file_name", F.col("folder"))
+
+
+def _folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select(F.col("source").alias("folder"))
 
 
 def blocks_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +51,8 @@ def blocks_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def blocks_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _blocks(spark, sf_dir).select("folder", "doc_id", "position", "document_index", "document_id", "global_block_index", "global_block_id")
+    docs = _table(spark, sf_dir, "documents")
+    return blocks.number_blocks(blocks.blocks_of_documents(docs), docs).select("folder", "doc_id", "position", "document_index", "document_id", "global_block_index", "global_block_id")
 
 
 def documents_full_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,15 +80,15 @@ def _shown(matches: DataFrame) -> DataFrame:
 
 
 def search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(search.search_blocks(_blocks(spark, sf_dir), QUERY, KEYWORDS, top_k=20, min_score=1.0).matches).drop("criterion_id")
+    return _shown(search.search_blocks(_blocks(spark, sf_dir), QUERY, KEYWORDS, top_k=20, min_score=1.0, folders=_folders(spark, sf_dir)).matches).drop("criterion_id")
 
 
 def search_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search_blocks(_blocks(spark, sf_dir), QUERY, KEYWORDS, top_k=20, min_score=3.0).stats.drop("criterion_id")
+    return search.search_blocks(_blocks(spark, sf_dir), QUERY, KEYWORDS, top_k=20, min_score=3.0, folders=_folders(spark, sf_dir)).stats.drop("criterion_id")
 
 
 def _search(spark: SparkSession, sf_dir: str) -> search.Search:
-    return search.search_by_criteria(_blocks(spark, sf_dir), CRITERIA, TOP_K, MIN_SCORE)
+    return search.search_by_criteria(_blocks(spark, sf_dir), CRITERIA, TOP_K, MIN_SCORE, folders=_folders(spark, sf_dir))
 
 
 def criteria_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,10 +104,7 @@ def criteria_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(i, c.criterion_id, c.block, c.criterion, c.priority) for i, c in enumerate(CRITERIA, 1)]
-    told = F.broadcast(spark.createDataFrame(rows, "rule_index int, id string, block string, criterion string, priority string"))
-    found = search.evidence(_search(spark, sf_dir))
-    return rules.evaluate(found.join(told, found["criterion_id"] == told["id"]).drop("criterion_id"))
+    return rules_of(spark, _search(spark, sf_dir), CRITERIA)
 
 
 def rule_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,37 +115,6 @@ def rule_stats_by_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.rule_stats(_rules(spark, sf_dir), "folder")
 
 
-def _literal_rules(spark: SparkSession) -> DataFrame:
-    """Literal evidence in the language of the patterns, for the rules that the tables' words never reach."""
-    item = "array<struct<score:double,snippet:string,text:string,block_text:string>>"
-    rows = [(i, rule, priority, [(score, None, text, None) for score, text in found]) for i, (rule, priority, found) in enumerate(LITERAL_RULES, 1)]
-    return spark.createDataFrame(rows, f"case int, id string, priority string, evidence {item}").withColumn("criterion", F.col("id"))
-
-
-LITERAL_RULES = [
-    ("procurement_method", "medium", [(1.0, "Закупка проводится как электронный аукцион.")]),
-    ("procurement_method", "medium", [(1.0, "открытый запрос предложений")]),
-    ("procurement_method", "medium", [(1.0, "Электронный аукцион"), (1.0, "запрос котировок")]),
-    ("procurement_method", "medium", [(1.0, "конкурсная документация")]),
-    ("procurement_method", "medium", [(1.0, "указать один из следующих вариантов: открытый конкурс")]),
-    ("procurement_method", "medium", [(1.0, "электронный документ, подписанный КЭП")]),
-    ("security_requirement", "high", [(1.0, "обеспечение заявки на участие в закупке | не требуется")]),
-    ("security_requirement", "high", [(1.0, "обеспечение исполнения\n\tдоговора не требуется")]),
-    ("security_requirement", "high", [(1.0, "обеспечение договора не требуется"), (1.0, "обеспечение заявки составляет 5%")]),
-    ("security_requirement", "high", [(0.0, "не предусмотрено обеспечение")]),
-    ("security_requirement", "high", [(2.0, "обеспечение заявки составляет 5%")]),
-    ("msp_restriction", "high", [(1.0, "участниками могут быть только субъекты малого и среднего предпринимательства")]),
-    ("msp_restriction", "high", [(1.0, "ограничений нет")]),
-    ("msp_restriction", "low", []),
-    ("delivery", "high", [(0.0, "срок поставки")]),
-    ("delivery", "low", [(None, "срок поставки")]),
-]
-
-
-def rule_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.evaluate(_literal_rules(spark)).select("case", "id", "status", "risk", "human_review_required", F.array_join("evidence_concerns", "|").alias("evidence_concerns"), "explicit_dealer_indicator")
-
-
 def _scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scenario.classify(_rules(spark, sf_dir))
 
@@ -163,8 +135,8 @@ def section_carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def docs_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = _table(spark, sf_dir, "documents").select(F.when(F.col("lang") == "en", "docx").when(F.col("lang") == "fr", "html").when(F.col("lang") == "de", "xlsx").otherwise("other").alias("source_type"))
-    return blocks.count_by_type(kinds.where("source_type <> 'other'"))
+    kinds = _table(spark, sf_dir, "documents").select(F.when(F.col("lang") == "en", "docx").when(F.col("lang") == "fr", "html").when(F.col("lang") == "de", "xlsx").otherwise("txt").alias("source_type"))
+    return blocks.count_by_type(kinds, ("docx", "html", "xlsx", "pdf", "txt"))
 
 
 def resume_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,17 +200,6 @@ def audit_fill_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.fill_rate(_facts(spark, sf_dir), ["dmc_ref", "decoded", "foil_error"])
 
 
-GUARDRAIL_TEXTS = [
-    "закупка только для смп", "ограничение участия не установлено", "участниками могут быть любые лица", "только товары. участники смп", "смп", "",
-    "обеспечение заявки не требуется", "обеспечение исполнения контракта составляет 5%", "обеспечение договора: предоставить взамен", "обеспечение заявки вносится", "срок поставки",
-]
-
-
-def guardrail_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, [(None, None, t, None)]) for i, t in enumerate(GUARDRAIL_TEXTS)], "case int, evidence array<struct<score:double,snippet:string,text:string,block_text:string>>")
-    return rows.select("case", shadow.overall(F.transform("evidence", shadow.msp_verdict)).alias("msp"), shadow.overall(F.transform("evidence", shadow.security_verdict)).alias("security"))
-
-
 def guardrail_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
     split = blocks.blocks_of_documents(_table(spark, sf_dir, "documents"))
     return split.select("doc_id", "position", shadow.near(F.lower("text"), "the", "that").alias("near"))
@@ -246,7 +207,8 @@ def guardrail_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def llm_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = search.evidence(_search(spark, sf_dir))
-    return found.select("folder", "criterion_id", F.posexplode(shadow.payload(F.col("evidence"), 3, 200)).alias("place", "p")).select("folder", "criterion_id", "place", "p.evidence_id", "p.text")
+    held = found.select("folder", "criterion_id", F.posexplode(shadow.payload(F.col("evidence"))).alias("place", "p"))
+    return held.select("folder", "criterion_id", "place", "p.llm_evidence_id", "p.text", "p.score")
 
 
 def pages_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -256,17 +218,17 @@ def pages_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUERIES = (
     blocks_split, blocks_numbered, documents_full_text, normalize_text, tokenize, search_terms, search_topk, search_stats, criteria_topk, criteria_stats, criteria_summary, rule_status,
-    rule_stats_by_folder, rule_literal, scenario_by_folder, scenario_reasons, section_carry_forward, docs_by_type, resume_anti_join, foil_budget, audit_normalize, audit_flags,
-    audit_flags_lenient, audit_last_wins, audit_review, audit_summary, audit_fill_rate, guardrail_verdict, guardrail_proximity, llm_payload, pages_blocks,
+    rule_stats_by_folder, scenario_by_folder, scenario_reasons, section_carry_forward, docs_by_type, resume_anti_join, foil_budget, audit_normalize, audit_flags,
+    audit_flags_lenient, audit_last_wins, audit_review, audit_summary, audit_fill_rate, guardrail_proximity, llm_payload, pages_blocks,
 )
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in _QUERIES}
+    return {f.__name__: f for f in _QUERIES} | literals.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.build(CRITERIA, QUERY, KEYWORDS, TOP_K, MIN_SCORE, FACTS_SQL)
+    return oracles.build(CRITERIA, QUERY, KEYWORDS, TOP_K, MIN_SCORE, FACTS_SQL) | literals.oracle_sql()
 
 
 __all__ = ["CRITERIA", "Criterion", "oracle_sql", "queries"]

@@ -18,6 +18,10 @@ def _strip(x: str) -> str:
     return rf"regexp_replace({x}, '^[{WS}]+|[{WS}]+$', '', 'g')"
 
 
+def _strip_end(x: str) -> str:
+    return rf"regexp_replace({x}, '[{WS}]+$', '')"
+
+
 _FROM = _quoted("ё" + fixed.DASHES + fixed.PUNCTUATION)
 _TO = _quoted("е" + "-" * len(fixed.DASHES) + " " * len(fixed.PUNCTUATION))
 
@@ -53,6 +57,33 @@ def _terms(rows: list[tuple]) -> str:
     return f"terms(c, pos, raw, t, kind, pw, tw, sw, generic) AS (VALUES {values})"
 
 
+def _list(words) -> str:
+    return "[" + ", ".join(_quoted(w) for w in sorted(words)) + "]"
+
+
+def _search_terms(criteria: list) -> str:
+    """Terms and weights from the criteria's own words: a query is a phrase, then its useful tokens; then the keywords."""
+    words = [(c.criterion_id, 0, 0, c.query) for c in criteria if c.query] + [(c.criterion_id, 1, i, k) for c in criteria for i, k in enumerate(c.keywords)]
+    values = ", ".join(f"({_quoted(c)}, {part}, {i}, {_quoted(w)})" for c, part, i, w in words)
+    generic, low = _list(fixed.GENERIC_TERMS), _list(fixed.LOW_BOOST_PHRASES)
+    return f"""
+WITH said(c, part, i, raw) AS (VALUES {values}),
+n AS (SELECT *, {_search("raw")} AS t FROM said),
+tokens AS (SELECT c, unnest(regexp_extract_all(t, '{TOKEN}')) AS t, generate_subscripts(regexp_extract_all(t, '{TOKEN}'), 1) AS i FROM n WHERE part = 0),
+wanted AS (
+  SELECT c, 0 AS part, 0 AS i, raw, t, 'phrase' AS kind FROM n WHERE part = 0
+  UNION ALL SELECT c, 0, i, t, t, 'token' FROM tokens WHERE NOT list_contains({_list(fixed.STOPWORDS)}, t) AND NOT regexp_full_match(t, '[0-9]+') AND (length(t) >= 3 OR list_contains({_list(fixed.SHORT_TOKENS)}, t))
+  UNION ALL SELECT c, 1, i, raw, t, CASE WHEN contains(t, ' ') THEN 'phrase' ELSE 'token' END FROM n WHERE part = 1),
+first AS (SELECT *, row_number() OVER (PARTITION BY c, kind, t ORDER BY part, i) AS k FROM wanted WHERE t <> ''),
+told AS (
+  SELECT *, regexp_extract_all(t, '{TOKEN}') AS w, list_contains({generic}, t) OR (len(regexp_extract_all(t, '{TOKEN}')) = 1 AND list_contains({generic}, regexp_extract_all(t, '{TOKEN}')[1])) AS common
+  FROM first WHERE k = 1)
+SELECT c AS criterion_id, (row_number() OVER (PARTITION BY c ORDER BY part, i) - 1)::INTEGER AS term_pos, raw, t AS normalized, kind,
+       CASE WHEN common THEN 1000 WHEN len(w) < 2 THEN 4000 WHEN list_contains({low}, t) OR len(list_filter(w, lambda x: NOT list_contains({generic}, x))) = 0 THEN 3000 ELSE 8000 + 1000 * least(len(w) - 2, 2) END::INTEGER AS phrase_weight,
+       CASE WHEN common THEN 400 ELSE 1200 END AS token_weight, CASE WHEN common THEN 200 ELSE 500 END AS substring_weight
+FROM told"""
+
+
 def _matching(rows: list[tuple]) -> str:
     """Matches, scored and shown, of blocks against terms that hold letters, digits and spaces only."""
     edge = lambda x, t: rf"regexp_matches({x}, '(^|[^a-zа-я0-9])' || {t} || '([^a-zа-я0-9]|$)')"
@@ -176,14 +207,13 @@ done AS (
     pct = lambda k: f"(100 * {k} // n)::BIGINT AS {k}_pct"
     counts = ("an1", "an0", "decoded", "download_errors", "empty_urls", "af_absent", "foil_unknown")
     near = "contains(x, 'the') AND contains(x, 'that') AND CASE WHEN regexp_matches(x, '[.!?;]') THEN len(list_filter(regexp_split_to_array(x, '[.!?;]+'), lambda s: contains(s, 'the') AND contains(s, 'that'))) > 0 ELSE regexp_matches(x, 'the.{0,47}that|that.{0,46}the|thathe') END"
-    value_terms = ", ".join(f"({_quoted(c)}, {t.position}, {_quoted(t.raw)}, {_quoted(t.normalized)}, '{t.kind}', {t.phrase_weight}, {t.token_weight}, {t.substring_weight})" for c, t in rows)
     return {
         "blocks_split": f"WITH {BLOCKS} SELECT folder, doc_id, position, printf('p%06d', position) AS block_id, text FROM blocks",
         "blocks_numbered": f"WITH {NUMBERED} SELECT folder, doc_id, position, document_index, printf('d%06d', document_index) AS document_id, global_block_index, printf('b%06d', global_block_index) AS global_block_id FROM numbered",
         "documents_full_text": f"WITH {BLOCKS}, t AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY position) AS t FROM blocks GROUP BY doc_id) SELECT doc_id, length(t) AS n_chars, md5(t) AS full_text_md5 FROM t",
         "normalize_text": f"SELECT doc_id, md5({_search('text')}) AS search_md5, md5({_content('text')}) AS content_md5, md5({_collapse('replace(' + _content('text') + ', ' + _quoted('|') + ', ' + _quoted(' ') + ')')}) AS security_md5 FROM documents",
         "tokenize": f"SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all({_search('text')}, '{TOKEN}')) AS token FROM documents) GROUP BY token",
-        "search_terms": f"SELECT * FROM (VALUES {value_terms}) t(criterion_id, term_pos, raw, normalized, kind, phrase_weight, token_weight, substring_weight)",
+        "search_terms": _search_terms(criteria),
         "search_topk": f"{_with(single, 1.0, 20)} SELECT {SHOWN.replace('criterion_id, ', '')} FROM matches",
         "search_stats": f"{_stats(single, ['query'], 3.0, 20)} SELECT folder, matches_total, matches_returned FROM stats",
         "criteria_topk": f"{_with(rows, min_score, top_k)} SELECT {SHOWN} FROM matches",
@@ -197,7 +227,7 @@ done AS (
         f" UNION ALL SELECT r.folder, id, {_quoted(fixed.REASON_MSP_PASS)}, status FROM rules r JOIN gated g USING (folder) WHERE gate = 12 AND id = 'msp_restriction' AND status = 'pass' AND explicit_dealer_indicator"
         f" UNION ALL SELECT folder, NULL, {_quoted(fixed.REASON_DIRECT)}, NULL FROM gated WHERE gate = 13",
         "section_carry_forward": f"WITH {BLOCKS} SELECT doc_id, position, md5(last_value(CASE WHEN length(text) <= 120 THEN text END IGNORE NULLS) OVER (PARTITION BY folder, doc_id ORDER BY position ROWS UNBOUNDED PRECEDING)) AS section_md5 FROM blocks",
-        "docs_by_type": "SELECT t.k AS source_type, count(d.doc_id) AS documents FROM (VALUES ('docx', 'en'), ('html', 'fr'), ('xlsx', 'de'), ('pdf', NULL)) t(k, l) LEFT JOIN documents d ON d.lang = t.l GROUP BY t.k",
+        "docs_by_type": "SELECT t.k AS source_type, count(d.k) AS documents FROM (VALUES ('docx'), ('html'), ('xlsx'), ('pdf'), ('txt')) t(k) LEFT JOIN (SELECT CASE lang WHEN 'en' THEN 'docx' WHEN 'fr' THEN 'html' WHEN 'de' THEN 'xlsx' ELSE 'txt' END AS k FROM documents) d ON d.k = t.k GROUP BY t.k",
         "resume_anti_join": "SELECT doc_id AS row, source FROM documents WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = documents.doc_id AND l.quality = 1)",
         "foil_budget": "SELECT doc_id AS row, row_number() OVER (ORDER BY doc_id) <= 100 AS in_budget FROM documents",
         "audit_normalize": f"{facts} SELECT row, {clean(code)} AS code, length({clean('coalesce(dmc_ref, ' + _quoted('') + ')')}) = 29 AND starts_with({clean('coalesce(dmc_ref, ' + _quoted('') + ')')}, '00000046') AS looks_right, code_matches FROM matched",
@@ -208,6 +238,6 @@ done AS (
         "audit_summary": f"{facts}, one AS (SELECT count(*) AS n, count(*) FILTER (an = '1') AS an1, count(*) FILTER (an = '0') AS an0, count(*) FILTER (dmc_found) AS decoded, count(*) FILTER (decode_error LIKE '%download_error%') AS download_errors, count(*) FILTER (decode_error = 'empty_url') AS empty_urls, count(*) FILTER (NOT af_present) AS af_absent, count(*) FILTER (foil_removed IS NULL AND foil_checked) AS foil_unknown FROM done) SELECT *, {', '.join(pct(k) for k in counts)}, decoded = 0 AS warn_none_decoded, download_errors * 10 >= n * 9 AS warn_downloads, empty_urls * 10 >= n * 9 AS warn_empty_urls FROM one",
         "audit_fill_rate": f"{facts}, t AS (SELECT unnest(['dmc_ref', 'decoded', 'foil_error']) AS \"column\", unnest([count(nullif({_strip('dmc_ref')}, '')), count(nullif({_strip('decoded')}, '')), count(nullif({_strip('foil_error')}, ''))]) AS filled, count(*) AS total FROM facts) SELECT \"column\", filled, total, filled * 10 <= total AS sparse FROM t",
         "guardrail_proximity": f"WITH {BLOCKS} SELECT doc_id, position, {near} AS near FROM (SELECT doc_id, position, lower(text) AS x FROM blocks)",
-        "llm_payload": f"{_with(rows, min_score, top_k)} SELECT folder, criterion_id, (rank - 1)::INTEGER AS place, (rank - 1)::INTEGER AS evidence_id, substr(snippet, 1, 200) AS text FROM matches WHERE rank <= 3",
+        "llm_payload": f"{_with(rows, min_score, top_k)} SELECT folder, criterion_id, (rank - 1)::INTEGER AS place, (rank - 1)::INTEGER AS llm_evidence_id, CASE WHEN length(snippet) <= 1200 THEN snippet ELSE {_strip_end("substr(snippet, 1, " + str(1200 - len(fixed.LLM_CUT)) + ")")} || {_quoted(fixed.LLM_CUT)} END AS text, score::DOUBLE AS score FROM matches WHERE rank <= 3",
     }
 

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 NOT_GIVEN, NO_EVIDENCE = "Не указан", "Evidence не найдено."
 CONCLUSION_NONE = "Данные для сводки отсутствуют или скоринг не содержит правил."
 CONCLUSION_REVIEW = "Требуется ручная проверка перед принятием решения по тендеру."
+CONCLUSION_CLEAR = "По текущим критериям критичные риски не выявлены. Итог не является финальным решением без проверки человеком."
+CONCLUSION_PARTLY = "Критичные риски не выявлены, но часть критериев не подтверждена. Требуется выборочная проверка."
 STAT_LABELS = (
     ("pass", "Подтверждено"), ("unknown", "Не подтверждено"), ("fail", "Негативные признаки"), ("conflict", "Противоречия"), ("risk_low", "Низкий риск"),
     ("risk_medium", "Средний риск"), ("risk_high", "Высокий риск"), ("human_review_required", "Требуют ручной проверки"),
@@ -110,9 +112,9 @@ def render_summary(result: dict) -> str:
     elif attention:
         conclusion = CONCLUSION_REVIEW
     elif len(passed) == len(rules):
-        conclusion = "По текущим критериям критичные риски не выявлены."
+        conclusion = CONCLUSION_CLEAR
     else:
-        conclusion = "Критичные риски не выявлены, но часть критериев не подтверждена."
+        conclusion = CONCLUSION_PARTLY
     counts = recount(result, rules)
 
     def of_attention(i: int, r: dict) -> list[str]:

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 IGNORED = frozenset({"script", "style", "noscript"})
 BLOCKS = frozenset({"p", "div", "li", "section", "article", "header", "footer", "h1", "h2", "h3", "h4", "h5", "h6"})
 VOID = frozenset({"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"})
+#: Blocks that a worker hands over at once.
+TOGETHER = 10_000
 SCHEMA = "position int, block_id string, block_type string, section string, text string, table_index int, row_index int, cell_values array<string>"
 
 _ARROW = pa.schema({n: {"int": pa.int32(), "string": pa.string()}.get(t, pa.list_(pa.string())) for n, t in (x.split(" ") for x in SCHEMA.split(", "))})
@@ -155,11 +157,15 @@ def decode_html(data: bytes) -> str:
     return data.decode("utf-8", "replace")
 
 
-def parse_html(content: str | bytes | None) -> list[dict]:
-    """Blocks of one document, in order."""
+def read_html(content: str | bytes | None) -> tuple[list[dict], dict[str, int]]:
+    """Blocks of one document, in order, and how many tables it has."""
     machine = _Machine()
     machine.feed(decode_html(bytes(content)) if isinstance(content, (bytes, bytearray, memoryview)) else content or "")
-    return machine.finish()
+    return machine.finish(), {"tables": machine.tables}
+
+
+def parse_html(content: str | bytes | None) -> list[dict]:
+    return read_html(content)[0]
 
 
 def html_blocks(docs: DataFrame) -> DataFrame:
@@ -169,7 +175,12 @@ def html_blocks(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             schema = pa.schema([batch.schema.field("doc_id"), *_ARROW])
+            held: list[dict] = []
             for row in batch.to_pylist():
-                yield pa.RecordBatch.from_pylist([{"doc_id": row["doc_id"], "position": i} | b for i, b in enumerate(parse_html(row["content"]), 1)], schema=schema)
+                held += ({"doc_id": row["doc_id"], "position": i} | b for i, b in enumerate(parse_html(row["content"]), 1))
+                if len(held) >= TOGETHER:
+                    yield pa.RecordBatch.from_pylist(held, schema=schema)
+                    held = []
+            yield pa.RecordBatch.from_pylist(held, schema=schema)
 
     return docs.select("doc_id", "content").mapInArrow(run, f"doc_id {kind}, {SCHEMA}")

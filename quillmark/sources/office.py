@@ -54,8 +54,13 @@ def _is_heading(paragraph: ET.Element, named: set[str]) -> bool:
 
 
 def docx_blocks(data: bytes) -> list[dict]:
-    """Paragraphs and table rows in the order of the body. A heading names the section, its own included; a merged
-    cell counts once; tables in cells are left out; rows without text give nothing but keep their number."""
+    return read_docx(data)[0]
+
+
+def read_docx(data: bytes) -> tuple[list[dict], dict[str, int]]:
+    """Paragraphs and table rows in the order of the body, and how many tables it has, those without text included. A
+    heading names the section, its own included; a merged cell counts once; tables in cells are left out; rows without
+    text give nothing but keep their number."""
     out: list[dict] = []
     with zipfile.ZipFile(io.BytesIO(data)) as package:
         named = _headings(package)
@@ -73,7 +78,7 @@ def docx_blocks(data: bytes) -> list[dict]:
                     cells = [_cell_text(tc) for tc in tr.findall(W + "tc") if not _continues(tc)]
                     if kept := [c for c in cells if c]:
                         out.append(_block("table_row", f"t{tables:06d}_r{row:06d}", section, " | ".join(kept), table_index=tables, row_index=row, cell_values=kept))
-    return out
+    return out, {"tables": tables}
 
 
 def _cell_text(cell: ET.Element) -> str:
@@ -141,7 +146,11 @@ def sheet_rows(package: zipfile.ZipFile, member: str, shared: list[str], columns
     formula counts as its address."""
     number = 0
     with package.open(member) as stream:
-        for _, element in ET.iterparse(stream, events=("end",)):
+        rows: ET.Element | None = None
+        for event, element in ET.iterparse(stream, events=("start", "end")):
+            if event == "start":
+                rows = element if element.tag == S + "sheetData" else rows
+                continue
             if element.tag != S + "row":
                 continue
             number = int(element.get("r", number + 1))
@@ -155,11 +164,17 @@ def sheet_rows(package: zipfile.ZipFile, member: str, shared: list[str], columns
                 if value := (link[1] if link else _clean(_cell_value(cell, shared))):
                     values[last] = value
             yield number, values
-            element.clear()
+            if rows is not None:
+                rows.clear()  # else every row that was read stays
 
 
 def xlsx_blocks(data: bytes) -> list[dict]:
-    """Rows of visible sheets that have a value. A row whose only cell is short names the section, its own included."""
+    return read_xlsx(data)[0]
+
+
+def read_xlsx(data: bytes) -> tuple[list[dict], dict[str, int]]:
+    """Rows of visible sheets that have a value, and how many visible sheets there are. A row whose only cell is short
+    names the section, its own included."""
     out: list[dict] = []
     with zipfile.ZipFile(io.BytesIO(data)) as package:
         shared = _shared(package)
@@ -174,7 +189,7 @@ def xlsx_blocks(data: bytes) -> list[dict]:
                 if len(cells) == 1 and len(cells[0]) <= SECTION_CHARS:
                     section = cells[0]
                 out.append(_block("table_row", f"s{index:06d}_r{row:06d}", section, " | ".join(cells), table_index=index, row_index=row, cell_values=cells, sheet_name=name, excel_row_index=number))
-    return out
+    return out, {"sheets": len(visible)}
 
 
 def xlsx_records(data: bytes, sheet: str, columns: dict[str, str], skip_rows: int = 1) -> Iterator[dict]:

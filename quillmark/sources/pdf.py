@@ -24,6 +24,12 @@ def page_texts(data: bytes) -> list[str | None]:
     return [page.extract_text() for page in reader.pages]
 
 
+def read_pdf(data: bytes) -> tuple[list[dict], dict[str, int]]:
+    """Blocks, and how many pages there are and how many of them have no text."""
+    pages = page_texts(data)
+    return blocks_of_pages(pages), {"pages": len(pages), "empty_pages": sum(not (p or "").strip() for p in pages)}
+
+
 def is_section(text: str) -> bool:
     if len(text) > SECTION_CHARS or PAGE_LINE.fullmatch(text):
         return False

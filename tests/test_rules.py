@@ -1,19 +1,19 @@
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from quillmark.operators import rules, scenario
-from quillmark.plans import catalog
+from quillmark.plans import catalog, literals
 
 ITEM = "array<struct<score:double,snippet:string,text:string,block_text:string>>"
 
 
-def test_literal_cases(spark):
-    got = [(r["status"], r["risk"], r["human_review_required"]) for r in catalog.rule_literal(spark, "").orderBy("case").collect()]
-    assert got == [
-        ("pass", "low", False), ("fail", "high", True), ("conflict", "high", True), ("unknown", "medium", True), ("unknown", "medium", True), ("unknown", "medium", True),
-        ("pass", "low", False), ("pass", "low", False), ("conflict", "high", True), ("pass", "low", False), ("pass", "low", False),
-        ("pass", "low", False), ("pass", "medium", True), ("unknown", "low", False), ("unknown", "medium", True), ("pass", "low", False),
-    ]
+@pytest.mark.parametrize("name", sorted(literals.queries()))
+def test_literal_cases(spark, name):
+    want = duckdb.connect().execute(literals.oracle_sql()[name])
+    columns = [d[0] for d in want.description]
+    key = lambda r: tuple((x is None, str(x)) for x in r)
+    assert sorted(map(tuple, literals.queries()[name](spark, "").select(*columns).collect()), key=key) == sorted(want.fetchall(), key=key)
 
 
 def test_negative_terms_only_when_named(spark):
@@ -27,30 +27,12 @@ def test_synonyms(spark):
     assert [r[0] for r in df.select(rules.normalize_priority(F.col("p"))).collect()] == ["high", "low", "medium", "medium", "low"]
 
 
-CORE = [("subject_okpd2_oil", "pass", "low", "high", False, False), ("subject_title_oil", "pass", "low", "high", False, False)]
-SCENARIOS = {
-    1: ([], "need_human_review", "low"),
-    2: ([("x", "pass", "low", "high", False, False)], "need_human_review", "low"),
-    3: ([("subject_okpd2_oil", "fail", "high", "high", True, False)], "need_human_review", "medium"),
-    4: ([("subject_okpd2_oil", "fail", "high", "high", False, False)], "not_relevant", "medium"),
-    5: ([*CORE, ("msp_restriction", "pass", "high", "high", False, True)], "need_human_review", "medium"),
-    6: ([*CORE, ("msp_restriction", "conflict", "low", "high", False, False)], "need_human_review", "medium"),
-    7: ([*CORE, ("x", "conflict", "low", "high", False, False)], "need_human_review", "medium"),
-    8: ([*CORE, ("x", "fail", "low", "medium", False, False)], "need_human_review", "medium"),
-    9: ([*CORE, ("x", "unknown", "low", "high", False, False)], "need_human_review", "medium"),
-    10: ([*CORE, ("x", "pass", "low", "low", True, False)], "need_human_review", "medium"),
-    11: ([("subject_okpd2_oil", "unknown", "low", "low", False, False)], "need_human_review", "medium"),
-    12: ([*CORE, ("msp_restriction", "pass", "low", "high", False, True)], "relevant_dealer", "high"),
-    13: ([*CORE, ("msp_restriction", "pass", "medium", "high", True, False)], "relevant_direct", "medium"),
-}
-
-
 def test_every_gate(spark):
-    rows = [(str(g), i, r[0], r[0], *r[1:4], r[4], "c", r[5]) for g, (rs, _, _) in SCENARIOS.items() for i, r in enumerate(rs, 1)]
+    rows = [(str(g), i, r[0], r[0], *r[1:4], r[4], "c", r[5]) for g, (rs, _, _) in literals.GATES.items() for i, r in enumerate(rs, 1)]
     df = spark.createDataFrame(rows, "folder string, rule_index int, id string, criterion string, status string, risk string, priority string, human_review_required boolean, comment string, explicit_dealer_indicator boolean")
-    every = spark.createDataFrame([(str(g),) for g in SCENARIOS], "folder string")
+    every = spark.createDataFrame([(str(g),) for g in literals.GATES], "folder string")
     got = {int(r["folder"]): r for r in scenario.classify(df, folders=every).collect()}
-    for g, (_, name, confidence) in SCENARIOS.items():
+    for g, (_, name, confidence) in literals.GATES.items():
         assert (got[g]["gate"], got[g]["scenario"], got[g]["confidence"]) == (g, name, confidence)
         assert got[g]["human_review_required"] == (g <= 11 and g != 4)
     assert [b["rule_id"] for b in got[8]["blocking_criteria"]] == ["x"]
