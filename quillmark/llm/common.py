@@ -11,22 +11,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_C = ctypes.CDLL(None)
-#: Used only where the session names no shared folder, as in tests.
-LOCAL_CHECKPOINTS = "file:///tmp/checkpoints/quillmark"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
+from quillmark.work import checkpoint, shared_dir
 
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write df to the shared folder, so that a lost executor costs no recomputation."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+__all__ = ["ascii_lower", "checkpoint", "shared_dir", "slices", "table"]
+_C = ctypes.CDLL(None)
 
 
 def ascii_lower(col: Column) -> Column:

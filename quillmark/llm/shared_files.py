@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from uuid import uuid4
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import SparkSession
 
@@ -32,3 +33,16 @@ def read(uri: str, offset: int, size: int) -> bytes:
     with at.open_input_file(path) as f:
         f.seek(offset)
         return f.read(size)
+
+
+def read_all(uri: str) -> pa.Buffer:
+    at, path = fs.FileSystem.from_uri(uri)
+    with at.open_input_file(path) as f:
+        return f.read_buffer()
+
+
+def remove(folder: str) -> None:
+    """Delete a folder of working files, if it is there."""
+    at, path = fs.FileSystem.from_uri(folder)
+    if at.get_file_info(path).type == fs.FileType.Directory:
+        at.delete_dir(path)
