@@ -27,16 +27,21 @@ def _content(seed: int) -> Column:
     return F.xxhash64(F.lit(seed), F.coalesce(F.concat(F.lit("r"), F.col("role")), F.lit("")), F.coalesce(F.concat(F.lit("t"), F.col("text")), F.lit("")))
 
 
+def _order() -> tuple[Column, Column, Column]:
+    """Turns of a conversation in order."""
+    return F.col("turn"), F.col("role"), F.unhex(F.md5("text"))
+
+
 def turns_with_prefix(conversations: DataFrame) -> DataFrame:
-    """(conv_id, place from 1, h1, h2): h1 and h2 hash the turns up to this one, in order of turn (null first); turns
-    of one number come in the order of their content's hashes. Texts stay behind: only hashes move."""
+    """(conv_id, place from 1, h1, h2): h1 and h2 hash the turns up to this one, in order of turn; turns of one number
+    come by role, then by the MD5 of their text; null first each time. Texts stay behind: only hashes move."""
     bucket = F.coalesce(F.floor(F.col("turn") / BUCKET), F.lit(-(2**62)))
-    rows = conversations.select("conv_id", "turn", bucket.alias("bucket"), _content(1).alias("c1"), _content(2).alias("c2"))
-    local = Window.partitionBy("conv_id", "bucket").orderBy(F.col("turn").asc_nulls_first(), "c1", "c2")
+    rows = conversations.select("conv_id", *(c.alias(f"o{i}") for i, c in enumerate(_order())), bucket.alias("bucket"), _content(1).alias("c1"), _content(2).alias("c2"))
+    local = Window.partitionBy("conv_id", "bucket").orderBy(*(F.col(f"o{i}").asc_nulls_first() for i in range(3)))
     before = Window.partitionBy("conv_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy("conv_id", "bucket").agg(F.count("*").alias("n"))
     counts = counts.select("conv_id", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_before"))
-    placed = _join(rows.withColumn("local", F.row_number().over(local)), counts).withColumn("place", F.col("n_before") + F.col("local")).drop("n_before", "turn")
+    placed = _join(rows.withColumn("local", F.row_number().over(local)), counts).withColumn("place", F.col("n_before") + F.col("local")).drop("n_before", "o0", "o1", "o2")
     placed = placed.withColumns({f"x{i}": F.xxhash64(F.lit(i), F.col("place"), F.col(f"c{i}")) for i in (1, 2)}).drop("c1", "c2")
     sums = placed.groupBy("conv_id", "bucket").agg(F.bit_xor("x1").alias("s1"), F.bit_xor("x2").alias("s2"))
     sums = sums.select("conv_id", "bucket", *(F.coalesce(F.bit_xor(f"s{i}").over(before), F.lit(0)).alias(f"b{i}") for i in (1, 2)))
@@ -64,13 +69,13 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     """Collapse cumulative snapshots, then render every maximal conversation.
 
     Returns (conv_id, n_turns long, rendered string), one row for each kept conversation. A conversation is the
-    rows of one conv_id (null is an id like any other, the smallest only if alone) in order of turn (null first), then
-    of the content's hashes; repeated rows are repeated turns. A null role or text is rendered as the empty string. An empty table
+    rows of one conv_id (null is an id like any other, the smallest only if alone) in order of turn, then role, then the
+    MD5 of the text, null first each time; repeated rows are repeated turns. A null role or text is rendered as the empty string. An empty table
     gives an empty one; other columns are not read. A rendered conversation is one value, so it must fit in a row.
     """
     kept = maximal(turns_with_prefix(conversations)).withColumnRenamed("conv_id", "k_conv")
     piece = F.concat(F.lit(TURN_START), F.coalesce("role", F.lit("")), F.lit(TURN_MIDDLE), F.coalesce("text", F.lit("")), F.lit(TURN_END))
-    turns = conversations.select("conv_id", F.struct("turn", _content(1).alias("c1"), _content(2).alias("c2"), piece.alias("piece")).alias("t"))
+    turns = conversations.select("conv_id", F.struct(*(c.alias(f"o{i}") for i, c in enumerate(_order())), piece.alias("piece")).alias("t"))
     turns = turns.join(kept, turns["conv_id"].eqNullSafe(kept["k_conv"]))
     listed = turns.groupBy("conv_id", "n_turns").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     return listed.select("conv_id", "n_turns", F.array_join(F.col("turns.piece"), "").alias("rendered"))
@@ -79,7 +84,7 @@ def format_chats(conversations: DataFrame) -> DataFrame:
 #: DuckDB: prefixes compared as whole strings.
 ORACLE_SQL = """
 WITH t AS (
-  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS place
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, md5(text) NULLS FIRST) AS place
   FROM conversations),
 p AS (
   SELECT conv_id, place, string_agg(coalesce('r' || role, '') || chr(1) || coalesce('t' || text, '') || chr(2), '') OVER (PARTITION BY conv_id ORDER BY place) AS pre,
