@@ -9,14 +9,18 @@ Queries are sent to the executors in blocks of bounded size; all candidate rows
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Terms (dimensions of queries) sent to the executors at once; candidate rows scored at once.
+from quillmark.llm import shared_files
+from quillmark.llm.block_store import pack, unpack
+from quillmark.llm.common import checkpoint
+
+#: Terms (dimensions of queries) of a file; candidate rows scored at once.
 QUERY_TERMS, ROWS = 4_000_000, 1 << 16
 SCALE = 256
 
@@ -68,9 +72,49 @@ def best(scores: np.ndarray, k: int, skip: np.ndarray) -> np.ndarray:
     return places[np.concatenate([above, np.flatnonzero(scores == floor)[: k - len(above)]])]
 
 
-def _worker(block, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _query_writer(folder: str, query_terms: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Query rows to files of at most so many terms: ids, terms of each, terms, weights."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            name = f"{uuid4().hex}.queries"
+            ids, terms, weights = zip(*held, strict=True)
+            shared_files.write(f"{folder}/{name}", [pack(np.array(ids, np.int64), np.array([len(t) for t in terms], np.int64), np.concatenate(terms), np.concatenate(weights))])
+            return pa.RecordBatch.from_arrays([pa.array([name])], ["name"])
+
+        for batch in batches:
+            for q, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                w = v.values.to_numpy(False).astype(np.int64)
+                terms = np.flatnonzero(w)
+                held.append((q, terms, w[terms]))
+                size += len(terms) + 1
+                if size >= query_terms:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
+    return run
+
+
+def _worker(folder: str, names: list[str], k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     schema = pa.schema({"query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.int64()})
 
+    def search(held: Postings, ids: np.ndarray, first: np.ndarray, name: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        asked, many, terms, weights = unpack(bytes(shared_files.read_all(f"{folder}/{name}")))
+        at = 0
+        for q, n in zip(asked.tolist(), many.tolist(), strict=True):
+            scores = held.scores(terms[at : at + n], weights[at : at + n])
+            at += n
+            if len(first) < len(ids):  # rows that share an id: the highest counts
+                scores = np.maximum.reduceat(scores, first)
+            own = np.searchsorted(ids[first], q)
+            top = best(scores, k, np.array([own] if own < len(first) and ids[first[own]] == q else [], np.int64))
+            yield np.full(len(top), q), ids[first[top]], scores[top]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
@@ -79,16 +123,10 @@ def _worker(block, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
                 by = np.argsort(ids, kind="stable")  # so earlier places have smaller ids
                 vectors = batch.column(1).take(pa.array(by))
                 ids = ids[by]
+                first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
                 held = Postings(ids, np.concatenate([[0], np.cumsum(vectors.value_lengths().to_numpy())]), vectors.flatten().to_numpy())
-                got: list[tuple[np.ndarray, ...]] = []
-                for q, terms, weights in block.value:
-                    scores = held.scores(terms, weights)
-                    top = best(scores, k, np.arange(np.searchsorted(ids, q), np.searchsorted(ids, q, side="right")))
-                    got.append((np.full(len(top), q), ids[top], scores[top]))
-                    if sum(map(len, (g[0] for g in got[-1:]))) and len(got) >= 20_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*got, strict=True), schema, strict=True)], schema=schema)
-                        got = []
-                if got:
+                for name in names:
+                    got = list(search(held, ids, first, name))
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*got, strict=True), schema, strict=True)], schema=schema)
 
     return run
@@ -98,32 +136,21 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id",
     """Each query's k highest integer inner products with all other rows.
 
     Returns (query_id, rank from 1, vec_id, score), at most k rows a query, ties to the smaller vec_id; fewer if
-    there are fewer candidates. Queries are the rows for which is_query holds; a row is known by its id, so rows
-    that share the query's id are its own, and repeated query rows of one id and vector are asked once. Rows whose
-    id is null, whose vector is null, or that hold a null or non-finite component take no part. Dimensions that
-    one vector lacks count as zero. Components are floor(scale * x). Other columns are not read. A score beyond 64
-    bits is an error.
+    there are fewer candidates. Queries are the rows for which is_query holds. A row is known by its id: rows that share
+    one are a single item with several vectors, which is no candidate of its own and scores as its best pair of vectors;
+    repeated query rows of one id and vector are asked once. Rows whose id is null, whose vector is null, or that hold a
+    null or non-finite component take no part. Dimensions that one vector lacks count as zero; very long vectors have a
+    file of queries of their own. Components are floor(scale * x). An empty table, or one without queries, gives an
+    empty result. Other columns are not read, whatever their names. A score beyond 64 bits is an error.
     """
     spark = vectors.sparkSession
     own = vectors.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("v"), is_query.alias("asks")).where("id IS NOT NULL AND v IS NOT NULL")
-    candidates = own.select("id", "v")
-    found: list[DataFrame] = []
-
-    def search(block: list) -> None:
-        found.append(candidates.mapInArrow(_worker(spark.sparkContext.broadcast(block), k), "query_id long, vec_id long, score long"))
-
-    block, size = [], 0
-    for q, v in own.where("asks").select("id", "v").distinct().toLocalIterator():
-        w = np.array(v, np.int64)
-        terms = np.flatnonzero(w)
-        block.append((q, terms, w[terms]))
-        size += len(terms) + 1
-        if size >= query_terms:
-            search(block)
-            block, size = [], 0
-    if block:
-        search(block)
-    if not found:
+    folder = shared_files.new_folder(spark, "queries")
+    written = checkpoint(own.where("asks").select("id", "v").distinct().mapInArrow(_query_writer(folder, query_terms), "name string"))
+    names = sorted(r["name"] for r in written.collect())  # one for each query_terms terms
+    if not names:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    ranked = reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    found = own.select("id", "v").mapInArrow(_worker(folder, names, k), "query_id long, vec_id long, score long")
+    found = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
