@@ -99,12 +99,13 @@ def _writer(path: str, separator: int, folder: str, most: int) -> Callable[[Iter
     return run
 
 
-def document_token_counts(docs: DataFrame, tokenizer: str, separator: int, id_col: str = "doc_id", text_col: str = "text", width: int = 2, block: int = BLOCK) -> DataFrame:
+def document_token_counts(docs: DataFrame, tokenizer: str, separator: int, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """Encode documents to flat files (special tokens in texts are ordinary text, so the separator stays alone),
     then count tokens from the files alone: (doc_id, n_tokens), one row for each row of docs.
 
-    A null or empty text has 0 tokens; null and repeated ids pass; an empty table gives an empty one. The files
-    follow the input's partitions, without a shuffle; which row stands at which place is kept beside them.
+    A null or empty text has 0 tokens; null and repeated ids pass; very long texts are written whole; an empty table
+    gives an empty one. Ids take as many bytes as the vocabulary needs. The files follow the input's partitions, without
+    a shuffle; which row stands at which place is kept beside them, and a file that can't be found is an error.
     """
     spark = docs.sparkSession
     folder = shared_files.new_folder(spark, "flat-tokens")
@@ -113,5 +114,7 @@ def document_token_counts(docs: DataFrame, tokenizer: str, separator: int, id_co
     listed = checkpoint(own.mapInArrow(_writer(tokenizer, separator, folder, FILE), f"name string, place long, doc_id {kind}"))
     if listed.isEmpty():
         return spark.createDataFrame([], f"doc_id {kind}, n_tokens long")
+    width = 2 if codec(tokenizer, False).kind == "H" else 4
     counted = count_tokens(spark, folder, separator, width, block).where("ended").select(F.element_at(F.split("file", "/"), -1).alias("name"), "place", "n_tokens")
-    return listed.join(counted, ["name", "place"]).select("doc_id", "n_tokens")
+    lost = F.raise_error(F.concat(F.lit("not in the shared folder: "), F.col("name"))).cast("long")
+    return listed.join(counted, ["name", "place"], "left").select("doc_id", F.coalesce("n_tokens", lost).alias("n_tokens"))

@@ -123,12 +123,16 @@ def with_starts(rows: DataFrame, shards: DataFrame) -> DataFrame:
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, ids: Column | None = None) -> DataFrame:
     """Write the files to a new folder, read them back: (doc_id, start, n_tokens, ids), one row for each row of docs.
-    ids: what is asked of the column of ids, worked out where they are read."""
+    ids: what is asked of the column of ids, worked out where they are read. Null and repeated ids, null, empty and very
+    long texts pass; an empty table gives an empty one; a file that can't be found is an error."""
     spark = docs.sparkSession
     folder = folder or shared_files.new_folder(spark, "token-files")
     shards = write_token_files(docs, tokenizer, end_id, folder, id_col, text_col)
     ids = F.col("ids") if ids is None else ids
     if shards.isEmpty():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids binary").select("doc_id", "start", "n_tokens", ids.alias("ids"))
+    there = spark.read.format("binaryFile").option("pathGlobFilter", "*.qtf").load(folder).select("path")
+    if there.count() < shards.count():
+        raise FileNotFoundError(f"not all token files are in {folder}")
     rows = read_token_files(spark, folder).select("file", "doc_id", "local_start", "n_tokens", ids.alias("ids"))
     return with_starts(rows, shards).select("doc_id", "start", "n_tokens", "ids")
