@@ -186,10 +186,11 @@ def search_shard(texts: list[bytes], blocks: Iterator[Phrases]) -> list[tuple[in
         np.add.at(cover, at, 1)
         np.add.at(cover, at + block.sizes[phrase], -1)
         doc = np.searchsorted(bound, at, side="right") - 1
-        many = block.owner_start[phrase + 1] - block.owner_start[phrase]
-        owner = block.owner[np.repeat(block.owner_start[phrase] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
-        for k in np.unique(np.repeat(doc, many) * len(block.ids) + owner).tolist():
-            items[k // len(block.ids)].add(block.ids[k % len(block.ids)])
+        own = np.unique(doc * len(block.sizes) + phrase)  # each phrase of a document once, before its owners
+        doc, phrase = own // len(block.sizes), own % len(block.sizes)
+        for d in np.unique(doc).tolist():
+            found = phrase[np.searchsorted(doc, d) : np.searchsorted(doc, d, side="right")].tolist()
+            items[d].update(block.ids[k] for k in set().union(*(block.owner[block.owner_start[p] : block.owner_start[p + 1]].tolist() for p in found)))
     if first:
         return [(len(words_of(t)), [], []) for t in texts]
     edge = np.diff(np.concatenate([[0], np.cumsum(cover[:-1]) > 0, [0]]).astype(np.int8))
@@ -258,12 +259,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     and no hits. An item of fewer words than window is one window; one without words is none; items with a null
     text take no part, nor do those with a null id unless null_items is set: then their words count in n_hit and
     spans, and together they are one item, a null at the end of items. Repeated ids count as one item. Either table may be empty. Columns of docs that are not
-    named don't pass, whatever their names. The benchmark is sent in blocks of bounded size. No shuffle.
+    named don't pass, whatever their names. Very long texts are searched whole, in a shard of their own. The benchmark
+    is sent in blocks of bounded size. No shuffle.
     """
-    keep_fields = docs.select(*keep).schema
+    keep_fields = docs.select(*(F.col(f"`{c}`") for c in keep)).schema
     names = [f"k{i}" for i in range(len(keep))]
     text = names[keep.index(text_col)] if text_col in keep else "text"
-    own = docs.select(*(F.col(c).alias(n) for c, n in zip(keep, names, strict=True)), *([] if text_col in keep else [F.col(text_col).alias(text)]))
+    own = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)), *([] if text_col in keep else [F.col(text_col).alias(text)]))
     ddl = ", ".join([*(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, keep_fields, strict=True)), "n_words long, n_hit long, spans array<struct<start:int,end:int>>, items array<string>"])
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -301,9 +301,9 @@ def score_documents(docs: DataFrame, model: Model | None, keep: tuple[str, ...]
     """The columns named in keep, and score (0 to 1) of every whole text. One row for each row of docs; a null or
     empty text, or one without letters, scores like NO_WORDS; without a model every score is 0. No shuffle."""
     if model is None:
-        return docs.select(*keep, F.lit(0.0).alias("score"))
+        return docs.select(*(F.col(f"`{c}`") for c in keep), F.lit(0.0).alias("score"))
     names = [f"k{i}" for i in range(len(keep))]
-    own = docs.select(*(F.col(c).alias(x) for c, x in zip(keep, names, strict=True)), *([] if text_col in keep else [F.col(text_col).alias("text")]))
+    own = docs.select(*(F.col(f"`{c}`").alias(x) for c, x in zip(keep, names, strict=True)), *([] if text_col in keep else [F.col(text_col).alias("text")]))
     ddl = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in own.schema.fields[: len(keep)])
     at = keep.index(text_col) if text_col in keep else len(keep)
     worst = own.mapInArrow(_worst_of(docs.sparkSession.sparkContext.broadcast(model), names, at), ddl + "worst double")

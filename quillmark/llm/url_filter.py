@@ -68,7 +68,7 @@ def judge_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", id_c
     Returns (page_id, host, path, rule, verdict), one row for each row of pages, repeated rows and null ids
     included. A null URL or one without "://" has empty host and path, fits no rule and gets the default verdict.
     Among fitting rules of one length the one with the longer host wins, then the first by name. Other columns of
-    pages are not read. The URLs are judged once for each distinct host and path, so repeated URLs cost one join row.
+    pages are not read. Very long URLs are judged whole; an empty table gives an empty one. The URLs are judged once for each distinct host and path, so repeated URLs cost one join row.
     """
     spark = pages.sparkSession
     judged = pages.select(F.col(id_col).alias("page_id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
