@@ -174,6 +174,37 @@ offending AS (
   WHERE (gate = 9 AND {unknown}) OR (gate = 10 AND human_review_required AND NOT {neutral}) OR (gate = 11 AND {core} AND status <> 'pass'))"""
 
 
+def _pages() -> str:
+    """Blocks of pages without tables, by a machine over their tags: a stack of open blocks, and text beside them."""
+    pieces = "<!--.*?-->|<(?:script|style|noscript)\\b.*?</(?:script|style|noscript)\\s*>|<[!/a-zA-Z][^>]*>|[^<]+|<"
+    text = "t"
+    for entity, sign in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        text = f"replace({text}, {_quoted(entity)}, {_quoted(sign)})"
+    blocks = "('p', 'div', 'li', 'section', 'article', 'header', 'footer', 'h1', 'h2', 'h3', 'h4', 'h5', 'h6')"
+    pair = "STRUCT(tag VARCHAR, txt VARCHAR)"
+    return f"""
+WITH RECURSIVE toks AS (SELECT page_id, regexp_extract_all(html, {_quoted("(?s)" + pieces)}) AS ts FROM pages),
+run AS (
+  SELECT page_id, 1 AS k, []::{pair}[] AS open, '' AS loose, []::{pair}[] AS done FROM toks
+  UNION ALL
+  SELECT page_id, k + 1,
+         CASE WHEN last > 0 THEN open[1:last - 1] WHEN begins THEN list_append(open, {{'tag': name, 'txt': ''}})
+              WHEN said IS NOT NULL AND len(open) > 0 THEN list_append(open[1:len(open) - 1], {{'tag': open[len(open)].tag, 'txt': open[len(open)].txt || said}}) ELSE open END,
+         CASE WHEN begins THEN '' WHEN said IS NOT NULL AND len(open) = 0 THEN loose || said ELSE loose END,
+         CASE WHEN last > 0 THEN list_concat(done, list_reverse(open[last:len(open)])) WHEN begins THEN list_append(done, {{'tag': NULL, 'txt': loose}}) ELSE done END
+  FROM (
+    SELECT *, CASE WHEN t LIKE '</%' THEN coalesce(list_max(list_filter(range(1, len(open) + 1), lambda i: open[i].tag = name)), 0) ELSE 0 END AS last,
+           t NOT LIKE '</%' AND name IN {blocks} AS begins, CASE WHEN t NOT LIKE '<%' OR t = '<' THEN {text} WHEN name = 'br' THEN ' ' END AS said
+    FROM (SELECT run.*, toks.ts[k] AS t, lower(regexp_extract(toks.ts[k], '^</?([a-zA-Z][a-zA-Z0-9]*)', 1)) AS name FROM run JOIN toks USING (page_id) WHERE k <= len(toks.ts)) x) y),
+ended AS (SELECT page_id, list_append(list_concat(done, list_reverse(open)), {{'tag': NULL, 'txt': loose}}) AS done FROM run JOIN toks USING (page_id) WHERE k = len(ts) + 1),
+listed AS (SELECT page_id, unnest(done) AS d, generate_subscripts(done, 1) AS i FROM ended),
+kept AS (SELECT page_id, i, d.tag AS tag, {_collapse("d.txt")} AS text FROM listed),
+numbered AS (SELECT page_id, tag, text, row_number() OVER (PARTITION BY page_id ORDER BY i) AS position FROM kept WHERE text <> '')
+SELECT page_id AS doc_id, position::INTEGER AS position, printf('p%06d', position) AS block_id, 'paragraph' AS block_type,
+       last_value(CASE WHEN regexp_matches(tag, '^h[1-6]$') THEN text END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY position ROWS UNBOUNDED PRECEDING) AS section, md5(text) AS text_md5
+FROM numbered"""
+
+
 def build(criteria: list, query: str, keywords: list[str], top_k: int, min_score: float, facts: str) -> dict[str, str]:
     """SQL of every query, for these criteria."""
     from quillmark.sources.criteria import build_terms
@@ -214,6 +245,7 @@ done AS (
         "normalize_text": f"SELECT doc_id, md5({_search('text')}) AS search_md5, md5({_content('text')}) AS content_md5, md5({_collapse('replace(' + _content('text') + ', ' + _quoted('|') + ', ' + _quoted(' ') + ')')}) AS security_md5 FROM documents",
         "tokenize": f"SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all({_search('text')}, '{TOKEN}')) AS token FROM documents) GROUP BY token",
         "search_terms": _search_terms(criteria),
+        "pages_blocks": _pages(),
         "search_topk": f"{_with(single, 1.0, 20)} SELECT {SHOWN.replace('criterion_id, ', '')} FROM matches",
         "search_stats": f"{_stats(single, ['query'], 3.0, 20)} SELECT folder, matches_total, matches_returned FROM stats",
         "criteria_topk": f"{_with(rows, min_score, top_k)} SELECT {SHOWN} FROM matches",
