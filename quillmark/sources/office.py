@@ -128,6 +128,11 @@ def _sheets(package: zipfile.ZipFile) -> list[tuple[str, str, bool]]:
     return out
 
 
+def sheet_members(package: zipfile.ZipFile) -> dict[str, str]:
+    """The file of each sheet by its name."""
+    return {n: m for n, m, _ in _sheets(package)}
+
+
 def _cell_value(cell: ET.Element, shared: list[str]) -> str:
     kind, value = cell.get("t", "n"), cell.findtext(S + "v")
     if kind == "inlineStr":
@@ -196,7 +201,7 @@ def xlsx_records(data: bytes, sheet: str, columns: dict[str, str], skip_rows: in
     """{row, name: value or null} of one sheet for columns {letters: name}, after a header; rows without any are left out."""
     wanted = {column_number(letters): name for letters, name in columns.items()}
     with zipfile.ZipFile(io.BytesIO(data)) as package:
-        members = {n: m for n, m, _ in _sheets(package)}
+        members = sheet_members(package)
         if sheet not in members:
             raise ValueError(f"no sheet named {sheet}")
         for number, values in sheet_rows(package, members[sheet], _shared(package), frozenset(wanted)):

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmark.operators import audit
+from quillmark.sinks import results
 from quillmark.sources import folder, office, pdf, records
 from quillmark.sources.criteria import load_criteria
 from quillmark.streaming import resume
@@ -95,7 +96,56 @@ def test_records_and_resume(spark, tmp_path):
     last = audit.last_wins(resume.results(spark, str(tmp_path / "out")))
     assert sorted((r["row"], r["v"]) for r in last.collect()) == [(1, 10), (2, 20), (3, 30)]
     (tmp_path / "broken.jsonl").write_text('{"row": 1}\n{"ro')
-    assert records.read_json_lines(spark, str(tmp_path / "broken.jsonl"), "row int", strict=False).count() >= 1
+    assert [r["row"] for r in records.read_json_lines(spark, str(tmp_path / "broken.jsonl"), "row int", strict=False).collect()] == [1]
+    with pytest.raises(Exception, match="MALFORMED|Malformed"):
+        records.read_json_lines(spark, str(tmp_path / "broken.jsonl"), "row int").collect()
+
+
+def _sheet(rows):
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    cells = lambda n, r: "".join(f'<c r="{c}{n}" s="3" t="inlineStr"><is><t>{v}</t></is></c>' for c, v in r.items())
+    return _zip(
+        {
+            "xl/workbook.xml": f'<workbook {ns} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="Detail" r:id="1"/></sheets></workbook>',
+            "xl/_rels/workbook.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="1" Target="worksheets/s.xml"/></Relationships>',
+            "xl/worksheets/s.xml": f'<worksheet {ns}><sheetData>' + "".join(f'<row r="{n}" ht="9">{cells(n, r)}</row>' if r else f'<row r="{n}"/>' for n, r in rows.items()) + "</sheetData><keep/></worksheet>",
+            "other": "kept",
+        }
+    )
+
+
+def test_audit_rows(spark, tmp_path):
+    (tmp_path / "a.xlsx").write_bytes(_sheet({1: {"A": "ref"}, 2: {"A": "r2", "D": "x"}, 3: {"D": "x"}, 4: {"B": "p4", "D": "y"}, 5: {"C": "q5", "D": "x"}, 6: {"A": "r6", "D": "x"}}))
+    rows = lambda **more: sorted(r["row"] for r in records.audit_rows(spark, str(tmp_path), "Detail", ("A", "B", "C", "D"), **more).collect())
+    assert rows() == [2, 4, 5, 6] and rows(keep_empty=True) == [2, 3, 4, 5, 6] and rows(check_type="x") == [2, 5, 6] and rows(check_type="x", limit=2) == [2, 5] and rows(check_type="none") == []
+
+
+def test_flags_in_a_workbook():
+    old = _sheet({1: {"A": "head"}, 2: {"A": "a", "AJ": "old", "AO": "z"}, 4: None})
+    flags = [{"row": 2, "ai": "1", "aj": "", "ak": "<", "an": "0"}, {"row": 3, "ai": "", "aj": "1", "ak": "", "an": "0"}, {"row": 4, "ai": "", "aj": "", "ak": "", "an": "1"}]
+    new = results.fill_workbook(old, "Detail", flags)
+    with zipfile.ZipFile(io.BytesIO(new)) as package:
+        xml, other = package.read("xl/worksheets/s.xml").decode(), package.read("other")
+        assert other == b"kept" and xml.endswith("<keep/></worksheet>") and [n for n, _ in office.sheet_rows(package, "xl/worksheets/s.xml", [])] == [1, 2, 3, 4]
+        got = dict(office.sheet_rows(package, "xl/worksheets/s.xml", []))
+    at = office.column_number
+    assert got[2] == {1: "a", at("AI"): "1", at("AK"): "<", at("AN"): "0", at("AO"): "z"} and got[3] == {at("AJ"): "1", at("AN"): "0"} and got[4] == {at("AN"): "1"}
+    assert '<c r="AJ2" s="3"/>' in xml and '<row r="2" ht="9">' in xml
+    with zipfile.ZipFile(io.BytesIO(results.fill_workbook(old, "Detail", flags, dmc_only=True))) as package:
+        assert dict(office.sheet_rows(package, "xl/worksheets/s.xml", []))[2] == {1: "a", at("AK"): "<", at("AO"): "z"}
+    with pytest.raises(ValueError):
+        results.fill_workbook(old, "None", flags)
+
+
+def test_result_tables(spark):
+    rows = [(2, "1", "", "", "0", "d", "r", "AF", False, "x", 0.5), (1, "", "", "1", "0", "d", "r", "AG", True, "x", None), (3, "", "1", "", "0", None, "r", None, True, "y", None)]
+    df = spark.createDataFrame(rows, "row int, ai string, aj string, ak string, an string, decoded string, dmc_ref string, decode_source string, review_needed boolean, foil_status string, foil_confidence double")
+    table = results.flags_table(df)
+    assert table.columns == ["row", "AI (фольга не снята)", "AJ (нет DMC)", "AK (DMC не совпадает)", "AN (итог)"] and [tuple(r) for r in table.collect()][0] == (1, "", "", "1", "0")
+    assert results.flags_table(df, dmc_only=True).columns == ["row", "AJ (нет DMC)", "AK (DMC не совпадает)"]
+    review = [tuple(r) for r in results.review_table(df, dmc_only=True).collect()]
+    assert review == [(1, "DMC распознан, но НЕ совпадает с эталоном AE", "d", "r", "AG", "1"), (3, "DMC не распознан (ни на AG, ни на AF)", None, "r", "—", "")]
+    assert len(results.review_table(df.drop("foil_confidence", "decode_source")).columns) == 10
 
 
 def test_criteria_files(tmp_path):
