@@ -10,10 +10,14 @@ import hashlib
 import json
 import os
 import re
+import threading
 import time
 import urllib.error
+from collections import deque
 from collections.abc import Callable, Iterator
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -111,6 +115,10 @@ def foil_failure(error: str, reason: str = "") -> dict:
     return {"foil_removed": None, "confidence": 0.0, "reason": reason, "review_needed": True, "error": error}
 
 
+#: Rows that a task works on at a time, and facts that it hands over together.
+WORKERS, TOGETHER = 12, 200
+
+
 # --- clients ---
 def retried(call: Callable[[], object], tries: int = 2, wait: float = 1.5) -> object:
     """call's value; errors of the other side are tried again after a growing wait, refusals (4xx) are not."""
@@ -224,19 +232,40 @@ def process_row(record: dict, clients: Clients, ignore_case: bool = False) -> di
     return out
 
 
-def process(rows: DataFrame, clients: Callable[[], Clients], ignore_case: bool = False) -> DataFrame:
-    """Facts of all rows; clients makes a task's own. An unexpected error gives a full row that names it. Tasks may
-    run again, so calls should be safe to repeat."""
+def in_window(items: Iterator[object], call: Callable[[object], object], workers: int, until: float | None = None) -> Iterator[object]:
+    """call of every item, in order, by so many threads; at most twice as many items are under way. After until (seconds
+    of the system's clock) no further item begins; those that have begun still end."""
+    with ThreadPoolExecutor(workers) as pool:
+        going: deque[Future] = deque()
+        for item in items:
+            if until is not None and time.time() >= until:
+                break
+            going.append(pool.submit(call, item))
+            if len(going) >= 2 * workers:
+                yield going.popleft().result()
+        while going:
+            yield going.popleft().result()
+
+
+def process(rows: DataFrame, clients: Callable[[], Clients], ignore_case: bool = False, workers: int = WORKERS, seconds: float | None = None) -> DataFrame:
+    """Facts of all rows, so many of a task at a time, since they wait for others most of it; clients makes a thread's
+    own. An unexpected error gives a full row that names it. seconds from now no further row begins; those that are left
+    have no facts, and a later run finds them by audit.pending. Tasks may run again, so calls should be safe to repeat."""
+    until = None if seconds is None else time.time() + seconds
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = clients()
-        for batch in batches:
-            out = []
-            for record in batch.to_pylist():
-                try:
-                    out.append(process_row(record, own, ignore_case))
-                except Exception as e:
-                    out.append({"row": record["row"], "dmc_ref": record.get("dmc_ref"), "af_present": bool(record.get("photo_pack")), "decode_error": f"{type(e).__name__}: {e}", "foil_checked": False})
-            yield pa.RecordBatch.from_pylist(out, schema=_ARROW)
+        own = threading.local()
+
+        def facts(record: dict) -> dict:
+            try:
+                if not hasattr(own, "clients"):
+                    own.clients = clients()
+                return process_row(record, own.clients, ignore_case)
+            except Exception as e:
+                return {"row": record["row"], "dmc_ref": record.get("dmc_ref"), "af_present": bool(record.get("photo_pack")), "decode_error": f"{type(e).__name__}: {e}", "foil_checked": False}
+
+        found = in_window((r for batch in batches for r in batch.to_pylist()), facts, workers, until)
+        while held := list(islice(found, TOGETHER)):
+            yield pa.RecordBatch.from_pylist(held, schema=_ARROW)
 
     return rows.select("row", "dmc_ref", "photo_dmc", "photo_pack").mapInArrow(run, FACTS)

@@ -78,3 +78,30 @@ def test_rows_to_flags(spark):
     assert got[6]["decode_error"] == "RuntimeError: engine" and not got[6]["foil_checked"]
     flags = {r["row"]: (r["ai"], r["aj"], r["ak"], r["an"]) for r in audit.evaluate(facts).collect()}
     assert flags[1] == ("", "", "", "1") and flags[5] == ("1", "", "1", "0") and flags[3] == ("1", "1", "", "0")
+
+
+def test_rows_in_a_window(spark):
+    import threading
+    import time
+
+    most, now, lock = [0], [0], threading.Lock()
+
+    def call(x):
+        with lock:
+            now[0] += 1
+            most[0] = max(most[0], now[0])
+        time.sleep(0.01)
+        with lock:
+            now[0] -= 1
+        return x
+
+    assert list(photos.in_window(iter(range(40)), call, 4)) == list(range(40)) and most[0] == 4
+    assert list(photos.in_window(iter(range(40)), call, 4, until=0.0)) == []
+    drawn = []
+    window = photos.in_window((drawn.append(i) or i for i in range(100)), call, 3)
+    assert next(window) == 0 and len(drawn) == 6
+    window.close()
+    rows = spark.createDataFrame([(i, "r", None, None) for i in range(300)], "row int, dmc_ref string, photo_dmc string, photo_pack string").repartition(2)
+    clients = lambda: photos.Clients(lambda url: b"", lambda data: (None, None))
+    assert sorted(r["row"] for r in photos.process(rows, clients, workers=5).collect()) == list(range(300))
+    assert photos.process(rows, clients, seconds=-1).count() == 0
