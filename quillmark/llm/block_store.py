@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from quillmark.llm import shared_files
-from quillmark.llm.common import slices
+from quillmark.llm.common import give_back, slices
 
 #: Bytes of text of a block; blocks that one task writes at most.
 BLOCK, PER_TASK = 8 << 20, 1 << 16
@@ -115,10 +115,13 @@ def deliver(sent: DataFrame, parts: int, answer: Callable[[int, list[tuple[int,
                 if to != at:
                     if got:
                         yield from answer(at, got)
+                        give_back()
                     at, got = to, []
                 got.append((kind, src, data))
         if got:
             yield from answer(at, got)
+        got = []
+        give_back()
 
     return sent.repartition(parts, "to").sortWithinPartitions("to", "kind", "src").mapInArrow(run, schema)
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillmark.work import checkpoint, shared_dir
 
-__all__ = ["ascii_lower", "checkpoint", "shared_dir", "slices", "table"]
+__all__ = ["ascii_lower", "checkpoint", "give_back", "shared_dir", "slices", "table"]
 _C = ctypes.CDLL(None)
 
 
@@ -26,9 +26,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def give_back() -> None:
+    """Hand memory that is free back to the system, since workers live on beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(_C, "malloc_trim", None):
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, text: int, most: int) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about so many bytes of text each, whole rows, at least one; what they took goes back to the
-    system after the batch, since workers live on beside the executor's heap."""
+    system after the batch."""
     sizes = np.cumsum(np.asarray(pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False), np.int64))
     at = 0
     while at < batch.num_rows:
@@ -36,6 +43,4 @@ def slices(batch: pa.RecordBatch, text: int, most: int) -> Iterator[pa.RecordBat
         to = max(at + 1, int(np.searchsorted(sizes, base + most, side="right")))
         yield batch.slice(at, to - at)
         at = to
-    pa.default_memory_pool().release_unused()
-    if trim := getattr(_C, "malloc_trim", None):
-        trim(0)
+    give_back()
