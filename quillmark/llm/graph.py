@@ -13,7 +13,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round sends the larger neighbours of every node to its least neighbour (large star), then the smaller
     ones (small star), until the edges no longer change; rounds grow with the logarithm of the longest path. Edges
-    are pre-aggregated by node, and the joins on a node are plain shuffle joins, whose skewed parts Spark splits.
+    are pre-aggregated by node. The edges of one node meet in one task, as thin rows that are sorted on disk where they
+    don't fit: Spark doesn't split these joins, since their other side is an aggregate.
     Loops and repeated edges may occur; no rows give no rows.
     """
     here = checkpoint(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())

@@ -2,8 +2,8 @@
 
 A fingerprint is the majority of each bit over the hashes of a text's word shingles. Fingerprints within RADIUS
 bits link, and components of links are groups of near copies. With the 64 bits cut into RADIUS + 2 blocks, two
-such fingerprints agree in at least two blocks, so every pair of blocks is a key, and each key's fingerprints form
-shards of at most SHARD. A shard's fingerprints are held in a BK-tree whose children are keyed by their integer
+such fingerprints agree in at least two blocks, so every pair of blocks is a key (three blocks of RADIUS + 3, and so
+on, where there are more fingerprints than pairs tell apart), and each key's fingerprints form shards of at most SHARD. A shard's fingerprints are held in a BK-tree whose children are keyed by their integer
 Hamming distance to the parent; a query at distance d follows only the edges d - RADIUS to d + RADIUS. Shard trees
 go to the tasks that hold their queries by the exchange on the key, not through the driver, since their number
 grows with the corpus. A task gives a spanning forest of the links it finds, never all pairs.
@@ -20,12 +20,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from quillmark.llm import shared_files
+from quillmark.llm.block_store import MESSAGE, deliver, pack, read_block, unpack, write_blocks
 from quillmark.llm.common import checkpoint, slices
 from quillmark.llm.graph import components
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
-#: Fingerprints of one shard; fingerprints searched together in a task.
-SHARD, TOGETHER = 4096, 150_000
+#: Fingerprints of one shard; fingerprints searched together in a task; fingerprints that share a key by chance.
+SHARD, TOGETHER, PER_KEY = 4096, 150_000, 16
 #: Bytes of text that a worker handles at once, shingles counted at once, tree nodes visited at once.
 SLICE, COUNTED, VISITED = 4 << 20, 1 << 16, 2_000_000
 
@@ -169,12 +171,20 @@ def _searcher(radius: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return run
 
 
-def links(values: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
-    """(a, b): links whose components are those of all pairs of the distinct longs fp within radius bits."""
-    blocks = radius + 2
+def links(values: DataFrame, radius: int = RADIUS, shard: int = SHARD, agree: int | None = None) -> DataFrame:
+    """(a, b): links whose components are those of all pairs of the distinct longs fp within radius bits.
+
+    agree: blocks of bits that make a key; where it isn't given, it grows with the number of values, so that a key
+    holds about PER_KEY of them at most.
+    """
+    if agree is None:
+        agree, many = 2, values.count()
+        while many > PER_KEY << (64 * agree // (radius + agree)):
+            agree += 1
+    blocks = radius + agree
     cuts = [64 * i // blocks for i in range(blocks + 1)]
     bits = [F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(cuts, cuts[1:], strict=False)]
-    keys = [F.lit(k << 32).bitwiseOR(F.shiftleft(bits[i], 16)).bitwiseOR(bits[j]) for k, (i, j) in enumerate(combinations(range(blocks), 2))]
+    keys = [F.xxhash64(F.lit(k), *(bits[i] for i in of)) for k, of in enumerate(combinations(range(blocks), agree))]
     keyed = values.select("fp", F.explode(F.array(*keys)).alias("key"))
     heavy = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > shard).select("key", F.ceil(F.col("n") / shard).alias("parts"))
     own = F.pmod(F.xxhash64("fp"), F.coalesce("parts", F.lit(1)))
@@ -185,11 +195,13 @@ def links(values: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFr
 
 
 def near_groups(marked: DataFrame, id_col: str, radius: int = RADIUS) -> DataFrame:
-    """(fp, component_id): each distinct fp with the least id of its component."""
+    """(fp, component_id): each distinct fp with the least id of its component. What is joined on a component was
+    written before, so that Spark may split the join where one component is very large."""
     least = checkpoint(marked.groupBy("fp").agg(F.min(id_col).alias("id")))
     roots = components(links(least.select("fp"), radius))
-    rooted = least.join(roots, least["fp"] == roots["node"], "left").select("fp", "id", F.coalesce("root", "fp").alias("root"))
-    return rooted.join(rooted.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("fp", "component_id")
+    rooted = checkpoint(least.join(roots, least["fp"] == roots["node"], "left").select("fp", "id", F.coalesce("root", "fp").alias("root")))
+    first = checkpoint(rooted.groupBy("root").agg(F.min("id").alias("component_id")))
+    return rooted.join(first, "root").select("fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -198,18 +210,56 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     Returns (doc_id, fingerprint: 16 lowercase hex digits, component_id: the least id reachable over links, its
     own included), one row for each row of docs, repeated rows and null ids included; a component of null ids alone
     has a null id. A null text counts as the empty one, whose fingerprint is zero and links like any other. Texts
-    are lower-cased (A-Z) and cut at ASCII white space; fewer words than a shingle form one. An empty table gives
-    an empty one. Other columns are not read.
+    are lower-cased (A-Z) and cut at ASCII white space; fewer words than a shingle form one; very long texts are
+    taken whole, COUNTED shingles at a time. An empty table gives an empty one. Other columns are not read.
     """
     marked = checkpoint(fingerprints(docs, [F.col(id_col).alias("doc_id")], shingle, seed, text_col))
     groups = near_groups(marked, "doc_id", radius)
     return marked.join(groups, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _told(shingle: int, seed: int) -> Callable[[pa.RecordBatch], bytes]:
+    """What a block says of its rows (column 0 the id, 1 the text): fingerprints, ids, which ids are missing."""
+
+    def told(block: pa.RecordBatch) -> bytes:
+        fp = np.array([fingerprint(x or b"", shingle, seed) for x in block.column(1).cast(pa.binary()).to_pylist()], np.uint64)
+        missing = block.column(0).is_null().to_numpy(False)
+        return pack(fp.view(np.int64), block.column(0).fill_null(0).to_numpy(False).astype(np.int64), missing.view(np.uint8))
+
+    return told
+
+
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Messages of blocks to a row for each of their rows: fp, and its place in the order of what stays."""
+    for batch in batches:
+        for block, data in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            fp, ids, missing = unpack(data)
+            order = pa.StructArray.from_arrays([pa.array(missing.view(bool)), pa.array(ids), pa.array(np.full(len(ids), block)), pa.array(np.arange(len(ids), dtype=np.int32))], ["none", "id", "block", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(fp), order], ["fp", "order"])
+
+
+def _give(folder: str) -> Callable[[int, list[tuple[int, int, bytes]]], Iterator[pa.RecordBatch]]:
+    def run(block: int, got: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+        stay = sorted(int.from_bytes(data) for kind, _, data in got if kind)
+        if stay:
+            rows = read_block(folder, block).take(pa.array(stay))
+            yield pa.RecordBatch.from_arrays(rows.columns[2:], rows.schema.names[2:])
+
+    return run
+
+
 def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay: of each group the row with the least id (null last), the first of equal ones."""
-    placed = docs.withColumn("__row", F.monotonically_increasing_id())
-    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__row").alias("row")).alias("__order")
-    marked = checkpoint(fingerprints(placed, [order], shingle, seed, text_col))
-    kept = near_groups(marked, "__order", radius).select(F.col("component_id.row").alias("__row")).distinct()
-    return placed.join(kept, "__row", "left_semi").select(*docs.columns)
+    """The rows of docs that stay: of each group the row with the least id (null last), one of those that share it.
+
+    Ids are integers; null and repeated ids, null, empty and very long texts, repeated rows and columns of any names
+    pass; an empty table gives an empty one. Rows are written once, as blocks in the shared folder, and known by their
+    place there, so it doesn't matter if docs give them in another order when read again.
+    """
+    folder, names = shared_files.new_folder(docs.sparkSession, "near-copies"), docs.columns
+    own = docs.select(F.col(id_col).cast("long"), F.col(text_col), *(docs[f"`{c}`"] for c in names)).toDF("id", "own", *(f"c{i}" for i in range(len(names))))
+    stored = checkpoint(own.mapInArrow(write_blocks(folder, 1, _told(shingle, seed)), MESSAGE))
+    marked = stored.mapInArrow(_marks, "fp long, order struct<none:boolean,id:long,block:long,place:int>")
+    kept = near_groups(marked, "order", radius).select("component_id.block", "component_id.place").distinct()
+    stay = kept.select(F.col("block").alias("to"), F.lit(1).alias("kind"), F.col("block").alias("src"), F.unhex(F.lpad(F.hex("place"), 8, "0")).alias("data"))
+    out = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
+    return deliver(stored.unionByName(stay), max(8, stored.count()), _give(folder), out).toDF(*names)

@@ -2,10 +2,11 @@
 
 The kernel of two words sums, over all character triples that occur in both, with gaps, the decayed spans of their
 occurrences, so an insult still matches with characters left out or put in; words are reduced to their letters
-first ("i.d-i.o t" is one word). The machine is trained on labelled sentences: in clean ones every word is clean; in
-a toxic document only some word of some sentence need be, so witness words are chosen (by their association
-with the label, then the machine's own choice in each document) and the hardest words of clean sentences join the
-training set. A sentence scores as its worst word, a document as its worst sentence, and a logistic fit gives the score.
+first ("i.d-i.o t" is one word). A label is its document's: in a clean document every word of every sentence is clean; in
+a toxic one only some word of some sentence need be, so witness words are chosen (by their association with the label,
+then the machine's own choice in each document) and the hardest words of clean documents join the training set. The
+machine's rows are these words, not whole sentences, whose kernel drowns one word in all others (README has figures); so
+a sentence scores as its worst word, a document as its worst sentence, and a logistic fit gives the score.
 
 The kernel's features are explicit, so the landmarks' weights fold into one table of triples, whose size is fixed.
 """
