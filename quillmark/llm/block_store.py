@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from quillmark.llm import shared_files
 from quillmark.llm.common import give_back, slices
 
-#: Bytes of text of a block; blocks that one task writes at most.
-BLOCK, PER_TASK = 8 << 20, 1 << 16
+#: Bytes of text of a block; blocks that one task writes at most; level of their compression.
+BLOCK, PER_TASK, LEVEL = 8 << 20, 1 << 16, 6
 #: A message: the block or bucket that it goes to, what it is, the block or bucket that it comes from, its content.
 MESSAGE = "to long, kind int, src long, data binary"
 _SCHEMA = pa.schema({"to": pa.int64(), "kind": pa.int32(), "src": pa.int64(), "data": pa.binary()})
@@ -78,7 +78,7 @@ def write_blocks(folder: str, text: int, also: Callable[[pa.RecordBatch], bytes]
         def flush() -> pa.RecordBatch:
             block = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, block.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as f:
+            with pa.ipc.new_stream(sink, block.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", LEVEL))) as f:
                 f.write_batch(block)
             if number >= first + PER_TASK:
                 raise ValueError("too many blocks in one partition")
