@@ -31,3 +31,7 @@ def test_blocks(spark):
     df = spark.createDataFrame([(1, "<p>a</p><table><tr><td>b</td></tr></table>"), (2, None), (3, "")], "doc_id long, content string")
     got = html_blocks(df).orderBy("doc_id", "position").collect()
     assert [(r["doc_id"], r["text"], r["table_index"], r["cell_values"]) for r in got] == [(1, "a", None, None), (1, "b", 1, ["b"])]
+
+
+def test_references_without_a_semicolon():
+    assert _texts("<h1>a&amp</h1><p>b&copy c &am d&lt;") == [("paragraph", "a&", "a&"), ("paragraph", "a&", "b© c &am d<")]
