@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import re
 from array import array
+from codecs import charmap_decode
 from functools import lru_cache
 
 import regex
@@ -19,12 +20,12 @@ PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 #: Fixed value: the characters that stand for bytes in a byte-level vocabulary; printable ones for themselves.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _OTHERS = [b for b in range(256) if b not in _PRINTABLE]
-BYTE_CHARACTERS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(_OTHERS)}
+BYTE_CHARACTERS = "".join(chr(256 + _OTHERS.index(b)) if b in _OTHERS else chr(b) for b in range(256))
 #: White space but for the space and the line feed, and white space that touches other white space or the end.
 OTHER_SPACES = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
 TOUCHING = re.compile(r"\s\s|\s\Z")
 #: Words that a worker remembers; beyond that, those that its last texts don't hold go.
-MEMORY = 600_000
+MEMORY = 1_200_000
 
 
 class ByteCodec:
@@ -53,11 +54,7 @@ class ByteCodec:
 
     def _piece(self, piece: str) -> bytes:
         """Ids of one pre-token: the library's model takes its bytes as characters."""
-        if piece[1:].isalpha() and piece.isascii():
-            piece = "Ġ" + piece[1:] if piece[0] == " " else piece  # the character that stands for a space
-        else:
-            piece = piece.encode().decode("latin-1").translate(BYTE_CHARACTERS)
-        return array(self.kind, [t.id for t in self.model.tokenize(piece)]).tobytes()
+        return array(self.kind, [t.id for t in self.model.tokenize(charmap_decode(piece.encode(), "strict", BYTE_CHARACTERS)[0])]).tobytes()
 
     def _plain(self, text: str) -> bool:
         """Whether no white space stands beside other white space or at the end, and no special token occurs."""

@@ -92,9 +92,10 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str,
     return checkpoint(ranged.mapInArrow(_writer(tokenizer, end_id, folder, shard), "part int, k int, file string, n_docs long, n_tokens long"))
 
 
-def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
+def read_token_files(spark: SparkSession, folder: str, digest: Callable[[bytes], int] | None = None) -> DataFrame:
     """Read the files back: (file, place in the file, doc_id, local_start, n_tokens, ids binary as little-endian
-    unsigned 32-bit integers)."""
+    unsigned 32-bit integers). digest: what of the ids, as a long in their place, leaves the worker that reads them."""
+    kind = pa.binary() if digest is None else pa.int64()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,10 +106,11 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
                     of = slice(a, a + 500)
                     packed = [ids[s : s + n].astype("<u4").tobytes() for s, n in zip(f.starts[of], f.lengths[of], strict=True)]
                     many = len(packed)
-                    yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * many, pa.string()), pa.array(range(a, a + many), pa.int32()), pa.array(f.doc_ids[of], mask=f.missing[of]), pa.array(f.starts[of]), pa.array(f.lengths[of]), pa.array(packed, pa.binary())], ["file", "place", "doc_id", "local_start", "n_tokens", "ids"])
+                    told = packed if digest is None else list(map(digest, packed))
+                    yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * many, pa.string()), pa.array(range(a, a + many), pa.int32()), pa.array(f.doc_ids[of], mask=f.missing[of]), pa.array(f.starts[of]), pa.array(f.lengths[of]), pa.array(told, kind)], ["file", "place", "doc_id", "local_start", "n_tokens", "ids"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.qtf").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    return files.mapInArrow(run, "file string, place int, doc_id long, local_start long, n_tokens long, ids binary")
+    return files.mapInArrow(run, f"file string, place int, doc_id long, local_start long, n_tokens long, ids {'binary' if digest is None else 'long'}")
 
 
 def with_starts(rows: DataFrame, shards: DataFrame) -> DataFrame:
@@ -121,18 +123,19 @@ def with_starts(rows: DataFrame, shards: DataFrame) -> DataFrame:
     return rows.join(files, "file").withColumn("start", F.col("file_start") + F.col("local_start")).drop("file_start")
 
 
-def round_trip(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, ids: Column | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, ids: Column | None = None, digest: Callable[[bytes], int] | None = None) -> DataFrame:
     """Write the files to a new folder, read them back: (doc_id, start, n_tokens, ids), one row for each row of docs.
-    ids: what is asked of the column of ids, worked out where they are read. Null and repeated ids, null, empty and very
+    ids: what is asked of the column of ids; digest: what of each document's ids, as a long in their place, leaves the worker
+    that reads them, which saves their way through Spark. Null and repeated ids, null, empty and very
     long texts pass; an empty table gives an empty one; a file that can't be found is an error."""
     spark = docs.sparkSession
     folder = folder or shared_files.new_folder(spark, "token-files")
     shards = write_token_files(docs, tokenizer, end_id, folder, id_col, text_col)
     ids = F.col("ids") if ids is None else ids
     if shards.isEmpty():
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids binary").select("doc_id", "start", "n_tokens", ids.alias("ids"))
+        return spark.createDataFrame([], f"doc_id long, start long, n_tokens long, ids {'binary' if digest is None else 'long'}").select("doc_id", "start", "n_tokens", ids.alias("ids"))
     there = spark.read.format("binaryFile").option("pathGlobFilter", "*.qtf").load(folder).select("path")
     if there.count() < shards.count():
         raise FileNotFoundError(f"not all token files are in {folder}")
-    rows = read_token_files(spark, folder).select("file", "doc_id", "local_start", "n_tokens", ids.alias("ids"))
+    rows = read_token_files(spark, folder, digest).select("file", "doc_id", "local_start", "n_tokens", ids.alias("ids"))
     return with_starts(rows, shards).select("doc_id", "start", "n_tokens", "ids")

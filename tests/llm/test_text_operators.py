@@ -421,3 +421,16 @@ def test_digests(spark, tmp_path):
     for r in queries.op7_token_files(spark, str(tmp_path)).collect():
         ids = tk.encode(ODD[r["doc_id"]], add_special_tokens=False).ids + [2]
         assert r["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def test_token_files_tell_a_digest(spark):
+    df = spark.createDataFrame([(2, "b c"), (1, None), (3, "é 日\n a")], "doc_id long, text string")
+    want = [(r["doc_id"], r["start"], r["n_tokens"], zlib.crc32(r["ids"])) for r in token_files.round_trip(df, BYTES, 2).orderBy("start").collect()]
+    assert [tuple(r) for r in token_files.round_trip(df, BYTES, 2, digest=zlib.crc32).orderBy("start").collect()] == want
+    assert token_files.round_trip(df.limit(0), BYTES, 2, digest=zlib.crc32).schema["ids"].dataType.simpleString() == "bigint"
+
+
+def test_bytes_of_all_kinds_are_pieces():
+    own = byte_codec.ByteCodec(BYTES)
+    text = " ".join(map(chr, [*range(33, 127), *range(161, 173), *range(174, 1000), 0x65E5, 0x1F600])) + "\nx"
+    assert np.frombuffer(own.encode_batch([text])[0], "<u2").tolist() == own.library.encode(text, add_special_tokens=False).ids
