@@ -312,6 +312,69 @@ def test_fuzzy_passages_by_brute_force(spark):
     assert got == want and spoilt > 40 and len(want) > 180
 
 
+def _brute_passages(split, least=50):
+    """By document: words in passages, from all seeds that it shares with each document of a smaller id, not only first holders."""
+    out = {}
+    for d, w in split.items():
+        covered = set()
+        for e, x in split.items():
+            places = {}
+            for i in range(len(x) - 4 if e < d else 0):
+                places.setdefault(tuple(x[i : i + 5]), []).append(i)
+            rows = [(0, e, 0, 0, j, i) for j in range(len(w) - 4) for i in places.get(tuple(w[j : j + 5]), ())]
+            for c in substring_dedup.chains_of(np.array(rows, np.int64).reshape(-1, 6)):
+                covered |= {k for s, t in substring_dedup.align(x, w, list(zip(c[5], c[4], strict=True))) for k in range(s, t)}
+        if runs := [(s, t) for s, t in substring_dedup.united(np.array(sorted(covered)), np.array(sorted(covered)) + 1) if t - s >= least] if covered else []:
+            out[d] = {k for s, t in runs for k in range(s, t)}
+    return out
+
+
+def test_fuzzy_passages_whose_parts_occur_earlier(spark):
+    rng = np.random.default_rng(3)
+    line = lambda n: [f"w{x}" for x in rng.integers(0, 100_000, n)]
+    split = {}
+    for i in range(48):
+        p = line(60 + i % 3 * 15)
+        q, differ = [], set(rng.choice(len(p), [3, 6, 9][i % 3 if i < 24 else 0], replace=False).tolist())
+        for k, w in enumerate(p):  # other words, or some left out or put in
+            kind = 0 if i < 24 else k % 3
+            q += [w] if k not in differ else [[f"s{k}"], [], [f"s{k}", w]][kind]
+        parts = [q[at : at + 12] for at in range(0, len(q), 8)]  # each seed has an earlier holder, in pieces of 12 words
+        for k, part in enumerate(parts):
+            split[20 * i + k] = line(15) + part + line(15)
+        split[2000 + i] = [w for part in parts for w in [*part, f"x{i}"]] * (i % 2) + line(20) + p + line(20)  # or earlier in that holder
+        split[3000 + i] = line(9) + q + line(i)
+    want = _brute_passages(split)
+    assert len(want.keys() & {3000 + i for i in range(48)}) >= 40
+    got = {r["doc_id"]: {k for s in r["spans"] for k in range(s["start"], s["end"])} for r in substring_dedup.repeated_passages(_docs(spark, [(d, " ".join(w)) for d, w in split.items()])).collect()}
+    assert set(got) == set(want) and all(got[d] >= want[d] for d in want)
+
+
+def test_holders_of_one_seed():
+    rng = np.random.default_rng(4)
+    side, size, n = substring_dedup.SIDE, substring_dedup.SIDE * 2 + 5, 300
+    words = rng.integers(1, 400, (n, size + 2 * substring_dedup.SHIFT)).astype(np.uint16)
+    words[rng.random(words.shape) < 0.4] = 7  # a frequent word
+    for i in range(0, n, 3):  # some of the words beside the seed are those of another
+        at = rng.random(words.shape[1]) < rng.uniform(0.6, 1)
+        words[i, at] = words[i + 1, at]
+    words[:, substring_dedup.SHIFT + side : substring_dedup.SHIFT + side + 5] = np.arange(401, 406)
+    words[::7, :30] = 0  # a text's edge
+    group = np.arange(n) // 100
+    want = set()
+    for x in range(0, n, 2):
+        for y in range(n):
+            own, other = words[x, 8:-8], words[y]
+            hit = [v > 0 and v in other[k : k + 17] for k, v in enumerate(own)]
+            line = [v == other[k + 8] for k, v in enumerate(own)]
+            last, first = next((k for k in range(side, size) if not line[k] or not own[k]), size), next((k + 1 for k in range(side, -1, -1) if not line[k] or not own[k]), 0)
+            beside = [h and (last - first < 25 or not first <= k < last) for k, h in enumerate(hit)]
+            if x != y and group[x] == group[y] and any(all(own[s:e]) and sum(hit[s:e]) >= e - s - m and (last - first < 25 or sum(beside[s:e]) >= 5) for s, e, m in substring_dedup._AROUND):
+                want.add((x, y))
+    pairs = [(a, b) for x, y in substring_dedup.alike(group, words, np.arange(n) % 2 == 0) for a, b in zip(x.tolist(), y.tolist(), strict=True)]
+    assert set(pairs) == want and len(pairs) == len(want) > 50
+
+
 def test_fuzzy_stretch_beside_an_exact_one():
     a, b = [f"a{i}" for i in range(215)], [f"a{i}" for i in range(215)]
     b[60:160] = [f"n{i}" for i in range(100)]
