@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -375,6 +376,43 @@ def test_holders_of_one_seed():
     assert set(pairs) == want and len(pairs) == len(want) > 50
 
 
+def test_words_that_go_on_and_on_stay_few_chains():
+    one = lambda left, n, right: np.array([*range(left, left + 30), *[9] * n, *range(right, right + 30)], np.uint16)
+    a, b = one(100, 120, 200), one(100, 110, 200)
+    chains = substring_dedup.shared_chains(a, b)
+    assert len(chains) <= 4  # not one for each two places
+    covered = {k for c in chains for s, e in substring_dedup.align(a.tolist(), b.tolist(), c) for k in range(s, e)}
+    assert covered == set(range(170))
+    assert len(substring_dedup.shared_chains(one(300, 120, 400), one(500, 40, 600))) <= 4
+
+
+def test_one_to_one():
+    side, shift = substring_dedup.SIDE, substring_dedup.SHIFT
+    n, at = 2 * (side + shift) + 5, side + shift
+    words = np.arange(1, 4 * n + 1, dtype=np.uint16).reshape(4, n)
+    for i, size in enumerate((30, 14, 22)):  # a word that goes on for so long from the seed on, beside words of their own
+        words[i, at : at + size] = 999
+    words[3] = words[0]
+    words[3, at + 3 : at + 6] = 7
+    pairs = [(x, y) for xs, ys in substring_dedup.alike(np.zeros(4, np.int64), words, np.ones(4, bool)) for x, y in zip(xs.tolist(), ys.tolist(), strict=True)]
+    x, y = (np.array(c) for c in zip(*pairs, strict=True))
+    kept = {p for p, k in zip(pairs, substring_dedup.one_to_one(words, x, y), strict=True) if k}
+    assert (0, 1) in pairs and (0, 1) not in kept  # 14 words stand for 22 and more
+    assert {(0, 2), (0, 3), (3, 0)} & set(pairs) <= kept and (0, 3) in kept
+
+
+def test_aligning_takes_no_table_of_a_whole_text():
+    rng = np.random.default_rng(8)
+    a, b = rng.integers(0, 500, 20_000).astype(np.uint16), rng.integers(500, 1000, 20_000).astype(np.uint16)
+    for k in range(0, 18_000, 60):
+        b[k : k + 5] = a[k : k + 5]
+    start = time.process_time()
+    (theirs, others), (ours, pairs) = substring_dedup.listed(a), substring_dedup.listed(b)
+    assert all(not substring_dedup.aligned(theirs, ours, others, pairs, [(k, k)])[0] for k in range(0, 18_000, 60))
+    assert time.process_time() - start < 1  # 300 such tables took more than that
+    assert not substring_dedup.align(theirs, ours, [(0, 0)])
+
+
 def test_fuzzy_stretch_beside_an_exact_one():
     a, b = [f"a{i}" for i in range(215)], [f"a{i}" for i in range(215)]
     b[60:160] = [f"n{i}" for i in range(100)]
