@@ -386,6 +386,70 @@ def test_words_that_go_on_and_on_stay_few_chains():
     assert len(substring_dedup.shared_chains(one(300, 120, 400), one(500, 40, 600))) <= 4
 
 
+def _runs_of_one_word(n, size):
+    """Words around the first place of a run of one word, beside words of their own."""
+    side, shift = substring_dedup.SIDE, substring_dedup.SHIFT
+    words = np.arange(10, 10 + n * (2 * (side + shift) + 5)).astype(np.uint16).reshape(n, -1)
+    words[:, side + shift : side + shift + size] = 9
+    return words
+
+
+def test_runs_of_one_word_alone_are_not_sent():
+    words, n = _runs_of_one_word(200, 22), 200
+    words[199] = words[0]
+    words[199, 60] = 7  # this one goes on like the first beyond the run
+    order = np.arange(n, dtype=np.int64)
+    told = substring_dedup.pack(substring_dedup.pack_sorted(np.full(n, 5, np.uint64)), np.ones(n, np.uint8), order, order.astype(np.int32), np.full(n, 50, np.int32), order.astype(np.uint64), words.ravel())
+    sent = [substring_dedup.unpack(data) for batch in substring_dedup._near(0, [(substring_dedup.ASKED, 3, told)]) for data in batch.column(3).to_pylist()]
+    assert [(local.tolist(), ids.tolist()) for local, ids, *_ in sent] == [([199], [0])]  # not each two of 200
+
+
+def test_pairs_of_runs_by_brute_force():
+    rng = np.random.default_rng(6)
+    words = _runs_of_one_word(120, 1)
+    middle = words.shape[1] // 2
+    for i in range(120):  # runs of unlike lengths; some words of another, or the run's word once more, beside
+        other = rng.random(words.shape[1]) < rng.choice([0, 0.3, 0.8])
+        words[i, other] = words[i // 2, other]
+        words[i, rng.integers(0, words.shape[1], i % 4)] = 9
+        before, after = (rng.integers(15, 24), 0) if i % 5 == 0 else (0, rng.integers(15, 24))  # its last place, or its first one
+        words[i, middle - 3 - before : middle + 4 + after] = 60_000
+        words[i, middle - 2 - before : middle + 3 + after] = 9
+    group, asks = np.arange(120) // 40, np.arange(120) % 3 > 0
+    kept = []
+    for found in (substring_dedup.alike, substring_dedup.alike_runs):
+        x, y = (np.concatenate(c) for c in zip(*found(group, words, asks), strict=True))
+        good = substring_dedup.one_to_one(words, x, y, True)
+        kept.append(sorted(zip(x[good].tolist(), y[good].tolist(), strict=True)))
+    assert kept[0] == kept[1] and len(kept[0]) > 50
+
+
+def test_where_spans_can_lie_at_most():
+    rng = np.random.default_rng(2)
+    a, b, i, j, far = [], [], [], [], []
+    for t in range(1500):
+        x, y = (rng.integers(1, rng.choice([3, 8, 300]) + 1, rng.integers(30, 90)).astype(np.uint16) for _ in range(2))
+        n = int(rng.integers(5, 12))
+        p, q = int(rng.integers(0, len(x) - n + 1)), int(rng.integers(0, len(y) - n + 1))
+        m = min(len(x) - p, len(y) - q) if t % 3 == 0 else n
+        x[p : p + m] = np.where((rng.random(m) < 0.7) | (np.arange(m) < n), y[q : q + m], x[p : p + m])
+        for some, value in ((a, x), (b, y), (i, p), (j, q), (far, n - 5)):
+            some.append(value)
+    i, j, far = map(np.array, (i, j, far))
+    done, (narrow,), may = substring_dedup.ended(a, b, i, j, far), substring_dedup.promising(a, b, (substring_dedup.CHAIN,)), substring_dedup.reach(a, b)
+    spans = 0
+    for k in range(len(a)):
+        (theirs, others), (ours, pairs) = substring_dedup.listed(a[k]), substring_dedup.listed(b[k])
+        found, more = substring_dedup.aligned(theirs, ours, others, pairs, [(i[k], j[k]), (i[k] + far[k], j[k] + far[k])])
+        assert not (done[k] and (more or found and not narrow[k]))
+        assert all(may[k][s:e].all() for s, e in found) and (narrow[k] or not found)
+        spans += len(found) > 0
+    assert spans > 20 and done.sum() > 20
+    run = lambda left, n, right: np.array([*range(left, left + 30), *[9] * n, *range(right, right + 30)], np.uint16)
+    assert [x.sum() for x in substring_dedup.reach([run(100, 24, 200), run(100, 30, 200)], [run(300, 40, 400), run(300, 30, 400)])] == [40, 30]
+    assert not substring_dedup.reach([run(100, 40, 200)], [run(300, 22, 400)])[0].any()  # 22 of 25 words, but none at an end
+
+
 def test_one_to_one():
     side, shift = substring_dedup.SIDE, substring_dedup.SHIFT
     n, at = 2 * (side + shift) + 5, side + shift
